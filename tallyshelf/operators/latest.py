@@ -1,0 +1,44 @@
+"""Group-wise latest row without joining the table to itself."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def latest_columns(order: str, values: Mapping[str, str]) -> list[Column]:
+    """Aggregates picking each value from the row with the largest ``order``.
+
+    One ``max_by`` per column: on fixed-width types that stays a hash aggregate with map-side
+    combine, where ``max_by`` of a struct would fall back to sorting every row.
+    """
+    return [F.max_by(source, order).alias(name) for name, source in values.items()]
+
+
+def latest_by(
+    df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, str],
+) -> DataFrame:
+    """One row per key; ``order`` must be unique within a key."""
+    return df.groupBy(*keys).agg(*latest_columns(order, values))
+
+
+def latest_with_ties(
+    df: DataFrame, keys: Sequence[str], within: Sequence[str], order: str,
+    values: Mapping[str, str],
+) -> DataFrame:
+    """All rows of a key that share its largest ``order``; unique per (keys, within, order).
+
+    The table is first reduced to one row per (keys, within), so the window sees a handful of rows
+    per key and not its whole history.
+    """
+    last = df.groupBy(*keys, *within).agg(
+        F.max(order).alias("_last"), *latest_columns(order, values)
+    )
+    newest = F.max("_last").over(Window.partitionBy(*keys))
+    return (
+        last.withColumn("_newest", newest)
+        .filter(F.col("_last") == F.col("_newest"))
+        .drop("_last", "_newest")
+    )

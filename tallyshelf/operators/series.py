@@ -1,0 +1,31 @@
+"""Latest state and sales statistics of every (store, region, product) series."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import mean_of, moment_sums, pop_sd
+from ..schema import SERIES
+from .latest import latest_columns
+
+
+def series_stats(
+    snap: DataFrame, values: Mapping[str, str], sold: Column | None = None,
+) -> DataFrame:
+    """Latest ``values`` plus ``days``, ``avg_sold`` and ``sd_sold`` per series, in one shuffle.
+
+    ``sold`` may be NULL on rows that must not count towards the statistics.
+    """
+    sold = F.col("units_sold") if sold is None else sold
+    grouped = snap.groupBy(*SERIES).agg(
+        *latest_columns("snapshot_date", values), *moment_sums(sold, "sold")
+    )
+    return grouped.select(
+        *SERIES, *values,
+        F.col("sold_n").alias("days"),
+        mean_of("sold").alias("avg_sold"),
+        pop_sd("sold").alias("sd_sold"),
+    )
