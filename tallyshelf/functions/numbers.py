@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,20 +19,31 @@ def rnd(value: Column, places: int = 0) -> Column:
     return F.round(value.cast(wide), places).cast("double")
 
 
+_HALF = 31  # squares are summed in two halves of this many bits, so that the sums stay in BIGINT
+
+
 def moment_sums(value: Column, name: str) -> list[Column]:
-    """Count, sum and sum of squares of an integer column as three aggregates.
+    """Count, sum and sum of squares of an integer column as exact, mergeable aggregates.
 
-    All three are exact integers and merge in any order, so averages and deviations built on them
-    do not change with the partitioning.
+    Integers add up the same in any order, so averages and deviations built on them do not change
+    with the partitioning. A square may have 62 bits; summing it in halves leaves room for billions
+    of rows without decimal arithmetic per row.
     """
     wide = value.cast("bigint")
+    square = wide * wide
     return [
         F.count(value).alias(f"{name}_n"),
         F.sum(wide).alias(f"{name}_sum"),
-        F.sum((wide * wide).cast("decimal(20,0)")).alias(f"{name}_sq"),
+        F.sum(F.shiftright(square, _HALF)).alias(f"{name}_sq_high"),
+        F.sum(square.bitwiseAND(F.lit(2**_HALF - 1).cast("bigint"))).alias(f"{name}_sq_low"),
     ]
 
 
+def moment_names(name: str) -> list[str]:
+    """Columns made by ``moment_sums(…, name)``; adding them up merges groups."""
+    return [f"{name}_{part}" for part in ("n", "sum", "sq_high", "sq_low")]
+
+
 def mean_of(name: str) -> Column:
     """Average from ``moment_sums(…, name)``."""
     return quotient(F.col(f"{name}_sum"), F.col(f"{name}_n"))
@@ -38,7 +51,6 @@ def mean_of(name: str) -> Column:
 
 def pop_sd(name: str) -> Column:
     """Population standard deviation from ``moment_sums(…, name)``; 0 for a single value."""
-    n, total, squares = (F.col(f"{name}_{part}") for part in ("n", "sum", "sq"))
-    n, total = n.cast("decimal(20,0)"), total.cast("decimal(20,0)")
-    spread = (n * squares - total * total).cast("double")
-    return quotient(F.sqrt(spread), n)
+    n, total, high, low = (F.col(c).cast("decimal(20,0)") for c in moment_names(name))
+    spread = n * (high * F.lit(Decimal(2**_HALF)) + low) - total * total
+    return quotient(F.sqrt(spread.cast("double")), n)

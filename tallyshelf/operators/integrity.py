@@ -43,47 +43,41 @@ def check_fk(child: DataFrame, column: str, parent: DataFrame, key: str | None =
 
 
 def _null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    counts = df.agg(
-        F.count(F.lit(1)).alias("checked"),
-        *[F.count_if(F.col(c).isNull()).alias(c) for c in columns],
+    counts = [F.expr(f"count_if({c} IS NULL)").alias(c) for c in columns]
+    return df.agg(F.expr("count(*)").alias("checked"), *counts).unpivot(
+        ["checked"], list(columns), "rule", "violations"
     )
-    return counts.unpivot(["checked"], list(columns), "rule", "violations")
 
 
 def _present(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return F.expr(" AND ".join(f"{c} IS NOT NULL" for c in columns))
 
 
 def _unique_rule(name: str, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     copies = df.filter(_present(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return copies.agg(
         F.count(F.lit(1)).alias("checked"), F.count_if(F.col("n") > 1).alias("violations")
-    ).select(
-        F.lit(name).alias("table_name"), F.lit(f"unique({', '.join(keys)})").alias("rule"),
-        "checked", "violations",
+    ).selectExpr(
+        f"'{name}' AS table_name", f"'unique({', '.join(keys)})' AS rule", "checked", "violations"
     )
 
 
 def _not_null_rules(name: str, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _null_counts(df, columns).select(
-        F.lit(name).alias("table_name"),
-        F.concat(F.lit("not null("), "rule", F.lit(")")).alias("rule"),
-        "checked", "violations",
+    return _null_counts(df, columns).selectExpr(
+        f"'{name}' AS table_name", "concat('not null(', rule, ')') AS rule", "checked", "violations"
     )
 
 
 def _long(name: str, df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(table_name, rule, key) rows, a key being the rule's columns as texts; NULL if one is."""
-    return df.select(
-        F.lit(name).alias("table_name"),
-        F.explode(F.array(*[
-            F.struct(
-                F.lit(rule).alias("rule"),
-                F.when(_present(cols), F.array(*[F.col(c).cast("string") for c in cols])).alias("key"),
-            )
-            for rule, cols in rules.items()
-        ])).alias("r"),
-    ).select("table_name", "r.rule", "r.key")
+    """(table_name, rule, key) rows, a key being the rule's columns as one text; NULL if one is."""
+    keys = [
+        f"CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in cols)} "
+        f"THEN concat_ws('\\u0001', {', '.join(cols)}) END AS `{rule}`"
+        for rule, cols in rules.items()
+    ]
+    return df.selectExpr(*keys).unpivot([], list(rules), "rule", "key").selectExpr(
+        f"'{name}' AS table_name", "rule", "key"
+    )
 
 
 def _dimension_rules(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
@@ -117,9 +111,8 @@ def _reference_rules(tables: Mapping[str, DataFrame]) -> DataFrame:
         F.count(F.lit(1)).alias("rows")
     )
     parents = reduce(DataFrame.unionAll, [
-        tables[parent].select(
-            F.lit(n).alias("table_name"), F.lit(f"references({c})").alias("rule"),
-            F.array(F.col(c).cast("string")).alias("key"),
+        tables[parent].selectExpr(
+            f"'{n}' AS table_name", f"'references({c})' AS rule", f"cast({c} AS string) AS key"
         )
         for n, refs in children.items() for c, parent in refs.items()
     ]).distinct().withColumn("found", F.lit(True))

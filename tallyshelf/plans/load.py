@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import HOLIDAY_FLAG, PROMOTIONS
 from ..operators import assert_integrity, insert_if_absent, numbered
 from ..schema import DIMENSIONS, RAW, STAR
-from ..sources.tables import new_path, read_table, write_table
+from ..sources.tables import cut_lineage, new_path, read_table, write_table
 
 
 def _named(column: str):
@@ -82,7 +82,8 @@ def dim_seasons(raw: DataFrame) -> DataFrame:
 
 
 def dim_promotions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROMOTIONS, STAR["promotions"])
+    rows = [F.struct(*map(F.lit, row)).cast(f"struct<{STAR['promotions']}>") for row in PROMOTIONS]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def fact_snapshots(raw: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
@@ -136,35 +137,43 @@ def price_history(raw: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
+def seen_names(raw: DataFrame) -> DataFrame:
+    """Distinct texts the small dimensions are made of, written out: one narrow scan feeds them all."""
+    texts = raw.select("Store_ID", "Region", "Weather_Condition", "Seasonality").distinct()
+    return cut_lineage(texts, "seen")
+
+
 def build_dimensions(raw: DataFrame) -> dict[str, DataFrame]:
     """All dimensions of one batch of raw rows."""
-    regions = dim_regions(raw)
+    seen = seen_names(raw)
+    regions = dim_regions(seen)
     return {
-        "stores": dim_stores(raw),
+        "stores": dim_stores(seen),
         "regions": regions,
-        "store_regions": bridge_store_regions(raw, regions),
+        "store_regions": bridge_store_regions(seen, regions),
         "products": dim_products(raw),
-        "weather_conditions": dim_weather(raw),
-        "seasonality": dim_seasons(raw),
+        "weather_conditions": dim_weather(seen),
+        "seasonality": dim_seasons(seen),
         "promotions": dim_promotions(raw.sparkSession),
     }
 
 
 def grow_dimensions(dims: Mapping[str, DataFrame], raw: DataFrame) -> dict[str, DataFrame]:
     """Dimensions after one more batch: known keys keep their row and id, new keys are added."""
-    regions = insert_if_absent(dims["regions"], region_names(raw), ["region_name"], "region_id")
+    seen = seen_names(raw)
+    regions = insert_if_absent(dims["regions"], region_names(seen), ["region_name"], "region_id")
     return {
-        "stores": insert_if_absent(dims["stores"], dim_stores(raw), ["store_id"]),
+        "stores": insert_if_absent(dims["stores"], dim_stores(seen), ["store_id"]),
         "regions": regions,
         "store_regions": insert_if_absent(
-            dims["store_regions"], bridge_store_regions(raw, regions), ["store_id", "region_id"]
+            dims["store_regions"], bridge_store_regions(seen, regions), ["store_id", "region_id"]
         ),
         "products": insert_if_absent(dims["products"], dim_products(raw), ["product_id"]),
         "weather_conditions": insert_if_absent(
-            dims["weather_conditions"], weather_names(raw), ["weather_condition"], "weather_id"
+            dims["weather_conditions"], weather_names(seen), ["weather_condition"], "weather_id"
         ),
         "seasonality": insert_if_absent(
-            dims["seasonality"], season_names(raw), ["season_name"], "season_id"
+            dims["seasonality"], season_names(seen), ["season_name"], "season_id"
         ),
         "promotions": dims["promotions"],
     }
@@ -209,20 +218,10 @@ def load_star(spark: SparkSession, raw: DataFrame, path: str | None = None) -> S
     write_table(raw.select(*RAW.names), f"{path}/raw")
     stage = _read(spark, path, "raw")
 
-    places = _keep(stage.select("Store_ID", "Region").distinct(), f"{path}/seen_places")
-    moods = _keep(stage.select("Weather_Condition", "Seasonality").distinct(), f"{path}/seen_labels")
-
-    def save(name: str, df: DataFrame) -> DataFrame:
+    dims = {}
+    for name, df in build_dimensions(stage).items():
         write_table(df.select(*_columns(name)), f"{path}/{name}")
-        return _read(spark, path, name)
-
-    dims = {"stores": save("stores", dim_stores(places))}
-    dims["regions"] = save("regions", dim_regions(places))
-    dims["store_regions"] = save("store_regions", bridge_store_regions(places, dims["regions"]))
-    dims["products"] = save("products", dim_products(stage))
-    dims["weather_conditions"] = save("weather_conditions", dim_weather(moods))
-    dims["seasonality"] = save("seasonality", dim_seasons(moods))
-    dims["promotions"] = save("promotions", dim_promotions(spark))
+        dims[name] = _read(spark, path, name)
     write_snapshots(fact_snapshots(stage, dims), f"{path}/inventory_snapshots")
     write_table(price_history(stage, dims["regions"]), f"{path}/price_history")
     star = read_star(spark, path)
@@ -254,7 +253,3 @@ def _columns(name: str) -> list[str]:
 def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return read_table(spark, f"{path}/{name}", _schema(name))
 
-
-def _keep(df: DataFrame, path: str) -> DataFrame:
-    write_table(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

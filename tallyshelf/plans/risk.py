@@ -11,7 +11,7 @@ from ..constants import (
     INCONSISTENCY_BOUNDS, INCONSISTENCY_LABELS, INCONSISTENCY_MONTHS, LEAD_DAYS, LOW_STOCK,
     RISK_BOUNDS, RISK_LABELS, SAFETY_Z, STOCKOUT_BOUNDS, STOCKOUT_LABELS,
 )
-from ..functions import label_ladder, mean_of, moment_sums, pop_sd, quotient, rnd
+from ..functions import label_ladder, mean_of, moment_names, moment_sums, pop_sd, quotient, rnd
 from ..operators import with_regions
 from ..operators.regions import region_keys, with_products
 from ..schema import SERIES
@@ -27,24 +27,24 @@ def stockout_risk(
 ) -> DataFrame:
     """Share of a series' days at or below its own reorder point, which is rounded to cents.
 
-    Statistics and flags come from one shuffle of three narrow columns: the window spreads the
-    series totals over its days. A series has one row per day at most (the snapshot key, checked
-    at load), so a window partition is bounded by the calendar whatever a store or product weighs.
+    A day is flagged with statistics of its whole series. Days are first counted per inventory
+    level, with map-side combine, and the series totals are then spread over those levels, so a
+    window partition holds the distinct levels of a series however many rows it has.
     """
-    series = Window.partitionBy(*SERIES)
-    sold = F.col("units_sold")
-    days = snap.select(*SERIES, "inventory_level", "units_sold").select(
-        *SERIES, "inventory_level",
-        F.count(sold).over(series).alias("sold_n"),
-        F.sum(sold.cast("bigint")).over(series).alias("sold_sum"),
-        F.sum((sold.cast("bigint") * sold).cast("decimal(20,0)")).over(series).alias("sold_sq"),
+    levels = snap.groupBy(*SERIES, "inventory_level").agg(
+        F.count(F.lit(1)).alias("days"), *moment_sums(F.col("units_sold"), "sold")
     )
+    series = Window.partitionBy(*SERIES)
+    totals = [F.sum(c).over(series).alias(c) for c in moment_names("sold")]
     point = rnd(
         mean_of("sold") * lead_days + F.lit(z) * pop_sd("sold") * safety_days(lead_days, horizon), 2
     )
-    rows = days.withColumn("point", point).groupBy(*SERIES).agg(
-        F.count_if(F.col("inventory_level") <= F.col("point")).alias("low_inventory_days"),
-        F.count(F.lit(1)).alias("total_days"),
+    low = F.when(F.col("inventory_level") <= F.col("point"), F.col("days")).otherwise(0)
+    rows = (
+        levels.select(*SERIES, "inventory_level", "days", *totals)
+        .withColumn("point", point)
+        .groupBy(*SERIES)
+        .agg(F.sum(low).alias("low_inventory_days"), F.sum("days").alias("total_days"))
     )
     ratio = rnd(quotient(F.col("low_inventory_days"), F.col("total_days")), 2)
     flag = label_ladder(
