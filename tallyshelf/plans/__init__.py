@@ -1,6 +1,6 @@
 from .boards import (
-    issue_heatmap, kpi_last, kpi_traffic_lights, monthly_kpis, product_store_matrix,
-    product_store_status, status_counts, status_pivot,
+    issue_heatmap, kpi_last, kpi_traffic_lights, last_months, monthly_kpis,
+    product_store_matrix, product_store_status, status_counts, status_pivot,
 )
 from .load import (
     Star, bridge_store_regions, build_dimensions, dim_products, dim_promotions, dim_regions,
@@ -23,7 +23,7 @@ __all__ = [
     "clean_region_month", "current_stock", "dead_stock", "demand_trend", "dim_products",
     "dim_promotions", "dim_regions", "dim_seasons", "dim_stores", "dim_weather", "fact_snapshots",
     "grow_dimensions", "inventory_age", "issue_heatmap", "kpi_last",
-    "kpi_traffic_lights", "load_star", "low_stock_alerts", "monthly_kpis", "monthly_trend",
+    "kpi_traffic_lights", "last_months", "load_star", "low_stock_alerts", "monthly_kpis", "monthly_trend",
     "monthly_turnover", "price_history", "product_store_matrix", "product_store_status",
     "read_star", "reorder_points", "seasonal_demand", "seasonal_reorder_points",
     "sell_through_region_month", "sell_through_store_month", "status_counts", "status_pivot",

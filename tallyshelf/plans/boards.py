@@ -62,6 +62,18 @@ def kpi_last(kpis: DataFrame, n: int = 3) -> DataFrame:
     return kpis.filter(F.col("month") >= first).orderBy("store_id", "month")
 
 
+def last_months(snap: DataFrame, n: int = 3) -> DataFrame:
+    """Snapshots of the last ``n`` months that occur; a loaded fact opens only their folders.
+
+    ``monthly_kpis`` over these equals ``kpi_last`` over all KPIs, without aggregating the rest.
+    """
+    newest = (
+        snap.select(F.trunc("snapshot_date", "MM").alias("month")).distinct()
+        .orderBy(F.desc("month")).limit(n)
+    )
+    return since(snap, newest.agg(F.min("month")).scalar())
+
+
 def product_store_status(snap: DataFrame) -> DataFrame:
     """Worst status a product ever had in a store: 0 out of stock … 3 adequate."""
     level, ordered = F.col("inventory_level").cast("bigint"), F.col("units_ordered")

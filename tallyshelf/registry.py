@@ -110,7 +110,7 @@ def queries() -> dict[str, Query]:
         "demand_trend": _report(lambda s: P.demand_trend(s.snap)),
         "monthly_kpis": _report(lambda s: P.monthly_kpis(s.snap)),
         "kpi_traffic_lights": _report(lambda s: P.kpi_traffic_lights(P.monthly_kpis(s.snap))),
-        "kpi_last3": _report(lambda s: P.kpi_last(P.monthly_kpis(s.snap))),
+        "kpi_last3": _report(lambda s: P.monthly_kpis(P.last_months(s.snap, 3))),
         "seasonal_demand": _report(lambda s: P.seasonal_demand(s.snap, s.dims)),
         "product_store_status": _report(lambda s: P.product_store_status(s.snap)),
         "product_store_matrix": _report(
