@@ -101,15 +101,23 @@ def _dimension_rules(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
     ]
 
 
+def _references_used(name: str, child: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows per referenced value. Combinations of the columns are counted first, from one scan;
+    there are far fewer of them than rows, and only they are turned into (rule, key) pairs."""
+    combos = child.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"))
+    keys = [f"cast({c} AS string) AS `references({c})`" for c in columns]
+    pairs = combos.selectExpr("rows", *keys).unpivot(
+        ["rows"], [f"references({c})" for c in columns], "rule", "key"
+    )
+    return pairs.filter("key IS NOT NULL").selectExpr(f"'{name}' AS table_name", "rule", "key", "rows")
+
+
 def _reference_rules(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """All references at once: each table is scanned once and its values are counted, then matched."""
+    """All references at once: the values of each table are counted, then matched."""
     children = {n: REFERENCES[n] for n in tables if n in REFERENCES}
-    values = reduce(DataFrame.unionAll, [
-        _long(n, tables[n], {f"references({c})": [c] for c in refs}) for n, refs in children.items()
-    ])
-    used = values.filter(F.col("key").isNotNull()).groupBy("table_name", "rule", "key").agg(
-        F.count(F.lit(1)).alias("rows")
-    )
+    used = reduce(DataFrame.unionAll, [
+        _references_used(n, tables[n], list(refs)) for n, refs in children.items()
+    ]).groupBy("table_name", "rule", "key").agg(F.sum("rows").alias("rows"))
     parents = reduce(DataFrame.unionAll, [
         tables[parent].selectExpr(
             f"'{n}' AS table_name", f"'references({c})' AS rule", f"cast({c} AS string) AS key"

@@ -56,10 +56,11 @@ def kpi_traffic_lights(
 
 
 def kpi_last(kpis: DataFrame, n: int = 3) -> DataFrame:
-    """KPIs of the last ``n`` months that occur anywhere."""
+    """KPIs of the last ``n`` months that occur anywhere; those ``n`` values are broadcast."""
     newest = kpis.select("month").distinct().orderBy(F.desc("month")).limit(n)
-    first = newest.agg(F.min("month")).scalar()
-    return kpis.filter(F.col("month") >= first).orderBy("store_id", "month")
+    return kpis.join(F.broadcast(newest), "month", "left_semi").select(*kpis.columns).orderBy(
+        "store_id", "month"
+    )
 
 
 def last_months(snap: DataFrame, n: int = 3) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
     INCONSISTENCY_BOUNDS, INCONSISTENCY_LABELS, INCONSISTENCY_MONTHS, LEAD_DAYS, LOW_STOCK,
     RISK_BOUNDS, RISK_LABELS, SAFETY_Z, STOCKOUT_BOUNDS, STOCKOUT_LABELS,
 )
-from ..functions import label_ladder, mean_of, moment_names, moment_sums, pop_sd, quotient, rnd
-from ..operators import with_regions
+from ..functions import label_ladder, mean_of, moment_sums, pop_sd, quotient, rnd
+from ..operators import series_stats, with_regions
 from ..operators.regions import region_keys, with_products
 from ..schema import SERIES
 from .load import MONTH
@@ -27,25 +27,21 @@ def stockout_risk(
 ) -> DataFrame:
     """Share of a series' days at or below its own reorder point, which is rounded to cents.
 
-    A day is flagged with statistics of its whole series. Days are first counted per inventory
-    level, with map-side combine, and the series totals are then spread over those levels, so a
-    window partition holds the distinct levels of a series however many rows it has.
+    Statistics are reduced to a row per series and joined back to two narrow columns of its days:
+    in place where they fit a broadcast, else by one shuffle in which the days stream past their
+    single matching row. No series can outgrow a task: the snapshot key, checked at load, allows
+    one row per day, whatever share of the table a store or a product holds.
     """
-    levels = snap.groupBy(*SERIES, "inventory_level").agg(
-        F.count(F.lit(1)).alias("days"), *moment_sums(F.col("units_sold"), "sold")
-    )
-    series = Window.partitionBy(*SERIES)
-    totals = [F.sum(c).over(series).alias(c) for c in moment_names("sold")]
     point = rnd(
-        mean_of("sold") * lead_days + F.lit(z) * pop_sd("sold") * safety_days(lead_days, horizon), 2
+        F.col("avg_sold") * lead_days + F.lit(z) * F.col("sd_sold") * safety_days(lead_days, horizon), 2
     )
-    low = F.when(F.col("inventory_level") <= F.col("point"), F.col("days")).otherwise(0)
-    rows = (
-        levels.select(*SERIES, "inventory_level", "days", *totals)
-        .withColumn("point", point)
-        .groupBy(*SERIES)
-        .agg(F.sum(low).alias("low_inventory_days"), F.sum("days").alias("total_days"))
+    points = series_stats(snap, {}).select(*SERIES, point.alias("point"))
+    rows = snap.select(*SERIES, "inventory_level").join(points, SERIES).groupBy(*SERIES).agg(
+        F.count_if(F.col("inventory_level") <= F.col("point")).alias("low_inventory_days"),
+        F.count(F.lit(1)).alias("total_days"),
     )
+    # the final sort runs its input twice, once to sample it; this keeps the join out of that
+    rows = rows.repartition("store_id", "product_id")
     ratio = rnd(quotient(F.col("low_inventory_days"), F.col("total_days")), 2)
     flag = label_ladder(
         F.col("risk_ratio"), [(">=", b, text) for b, text in zip(bounds, RISK_LABELS)], RISK_LABELS[-1]

@@ -76,15 +76,18 @@ def sell_through_region_month(
         days = days.join(bridge, "store_id").groupBy("region_id", "snapshot_date").agg(
             F.sum("sold").alias("sold"), F.sum("level").alias("level")
         )
+    # the label is made from an aggregate: a filter on it then stays on the monthly rows, where a
+    # filter on the grouping key would be pushed down and format every day of the fact
     months = days.groupBy("region_id", _month()).agg(
-        F.sum("sold").alias("sold"), F.sum("level").alias("level_sum"), F.count("level").alias("level_n")
+        F.sum("sold").alias("sold"), F.sum("level").alias("level_sum"), F.count("level").alias("level_n"),
+        F.max("snapshot_date").alias("last_day"),
     )
     months = months.withColumn("level", rnd(mean_of("level"), 2))
     return (
         months.join(dims["regions"], "region_id")
         .orderBy("month", "region_name")
         .select(
-            month_label(F.col("month")).alias("Month"),
+            F.date_format("last_day", "yyyy-MM").alias("Month"),
             F.col("region_name").alias("Region"),
             F.col("sold").alias("Total_Units_Sold"),
             F.col("level").alias("Weighted_Avg_Inventory"),
