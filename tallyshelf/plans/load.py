@@ -212,7 +212,8 @@ def write_snapshots(fact: DataFrame, path: str, mode: str = "error") -> None:
 def load_star(spark: SparkSession, raw: DataFrame, path: str | None = None) -> Star:
     """Load all tables under ``path`` (default: the shared folder) and check their rules.
 
-    Raw rows are staged once; narrow scans of the stage feed each dimension, then the fact.
+    Raw rows are staged once; narrow scans of the stage feed the dimensions, then the fact. Nothing
+    reads the stage (``path``/raw) after the load, so it may be dropped.
     """
     path = path or new_path(spark, "star")
     write_table(raw.select(*RAW.names), f"{path}/raw")

@@ -22,7 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    return _own_folder.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tallyshelf-"))
+    if context.applicationId not in _own_folder:
+        _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="tallyshelf-")
+    return _own_folder[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -59,20 +59,22 @@ def test_normalize_keys(spark):
     assert df.first().k == "p1"
 
 
-def test_empty_and_null_names_make_no_dimension_row(star_of):
-    snap, dims = star_of([
+def test_empty_and_null_names_make_no_dimension_row(raw_of):
+    raw = raw_of([
         {"Region": "South", "Weather_Condition": "", "Seasonality": None},
         {"Region": ""}, {"Region": None}, {"Store_ID": None}, {"Product_ID": None}, {"Date": None},
     ])
+    dims = P.build_dimensions(raw)
+    snap = P.fact_snapshots(raw, dims)
     assert [r["region_name"] for r in rows(dims["regions"].orderBy("region_id"))] == ["North", "South"]
     got = rows(snap)
     assert len(got) == 1 and got[0]["weather_id"] is None and got[0]["season_id"] is None
 
 
-def test_holiday_promotion(star_of):
-    snap, dims = star_of([{"Holiday_Promotion": h, "Product_ID": f"P{i}"} for i, h in enumerate(["1", "0", "", None])])
+def test_holiday_promotion(spark, star_of):
+    snap, _ = star_of([{"Holiday_Promotion": h, "Product_ID": f"P{i}"} for i, h in enumerate(["1", "0", "", None])])
     assert [r["promotion_id"] for r in rows(snap.orderBy("product_id"))] == [2, 1, 1, 1]
-    assert rows(dims["promotions"].orderBy("promotion_id")) == [
+    assert rows(P.dim_promotions(spark).orderBy("promotion_id")) == [
         {"promotion_id": 1, "is_holiday_promotion": False, "promotion_description": "No Promotion"},
         {"promotion_id": 2, "is_holiday_promotion": True, "promotion_description": "Holiday Promotion"},
     ]
