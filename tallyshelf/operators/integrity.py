@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +24,8 @@ def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def check_not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns holding NULL, with the number of rows; one pass for all columns."""
-    return _null_counts(df, columns).filter("violations > 0").select(
-        F.col("rule").alias("column_name"), "violations"
-    )
+    counts = [F.expr(f"count_if({c} IS NULL)").alias(c) for c in columns]
+    return df.agg(*counts).unpivot([], list(columns), "column_name", "violations").filter("violations > 0")
 
 
 def check_fk(child: DataFrame, column: str, parent: DataFrame, key: str | None = None) -> DataFrame:
@@ -42,105 +40,105 @@ def check_fk(child: DataFrame, column: str, parent: DataFrame, key: str | None =
     return used.join(parent.select(F.col(key or column).alias(column)), column, "left_anti")
 
 
-def _null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    counts = [F.expr(f"count_if({c} IS NULL)").alias(c) for c in columns]
-    return df.agg(F.expr("count(*)").alias("checked"), *counts).unpivot(
-        ["checked"], list(columns), "rule", "violations"
-    )
-
-
 def _present(columns: Sequence[str]) -> Column:
     return F.expr(" AND ".join(f"{c} IS NOT NULL" for c in columns))
 
 
-def _unique_rule(name: str, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    copies = df.filter(_present(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return copies.agg(
-        F.count(F.lit(1)).alias("checked"), F.count_if(F.col("n") > 1).alias("violations")
-    ).selectExpr(
-        f"'{name}' AS table_name", f"'unique({', '.join(keys)})' AS rule", "checked", "violations"
-    )
+def _and(template: str, columns: Sequence[str]) -> str:
+    return " AND ".join(template.format(c) for c in columns)
 
 
-def _not_null_rules(name: str, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _null_counts(df, columns).selectExpr(
-        f"'{name}' AS table_name", "concat('not null(', rule, ')') AS rule", "checked", "violations"
-    )
+def _union(parts: Sequence[str]) -> str:
+    return "\nUNION ALL\n".join(parts)
 
 
-def _long(name: str, df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(table_name, rule, key) rows, a key being the rule's columns as one text; NULL if one is."""
-    keys = [
-        f"CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in cols)} "
-        f"THEN concat_ws('\\u0001', {', '.join(cols)}) END AS `{rule}`"
-        for rule, cols in rules.items()
-    ]
-    return df.selectExpr(*keys).unpivot([], list(rules), "rule", "key").selectExpr(
-        f"'{name}' AS table_name", "rule", "key"
-    )
+def _pairs(pairs: Mapping[str, str]) -> str:
+    """``stack`` arguments for (text, expression) pairs."""
+    return ", ".join([str(len(pairs)), *(f"'{text}', {expr}" for text, expr in pairs.items())])
 
 
-def _dimension_rules(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
-    """Unique and mandatory columns of the dimensions, all of them in two aggregations."""
-    unique = reduce(DataFrame.unionAll, [
-        _long(n, df, {f"unique({', '.join(k)})": k for k in UNIQUE[n]}) for n, df in tables.items()
-    ])
-    mandatory = reduce(DataFrame.unionAll, [
-        _long(n, df, {f"not null({c})": [c] for c in NOT_NULL[n]}) for n, df in tables.items()
-    ])
-    copies = unique.filter(F.col("key").isNotNull()).groupBy("table_name", "rule", "key").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return [
-        copies.groupBy("table_name", "rule").agg(
-            F.count(F.lit(1)).alias("checked"), F.count_if(F.col("n") > 1).alias("violations")
-        ),
-        mandatory.groupBy("table_name", "rule").agg(
-            F.count(F.lit(1)).alias("checked"), F.count_if(F.col("key").isNull()).alias("violations")
-        ),
-    ]
-
-
-def _references_used(name: str, child: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows per referenced value. Combinations of the columns are counted first, from one scan;
-    there are far fewer of them than rows, and only they are turned into (rule, key) pairs."""
-    combos = child.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"))
-    keys = [f"cast({c} AS string) AS `references({c})`" for c in columns]
-    pairs = combos.selectExpr("rows", *keys).unpivot(
-        ["rows"], [f"references({c})" for c in columns], "rule", "key"
-    )
-    return pairs.filter("key IS NOT NULL").selectExpr(f"'{name}' AS table_name", "rule", "key", "rows")
+def _unique_sql(name: str, keys: Sequence[str]) -> str:
+    cols = ", ".join(keys)
+    return f"""
+      SELECT '{name}' AS table_name, 'unique({cols})' AS rule, count(*) AS checked, count_if(n > 1) AS violations
+      FROM (SELECT count(*) AS n FROM {{{name}}} WHERE {_and("{} IS NOT NULL", keys)} GROUP BY {cols})"""
 
 
-def _reference_rules(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """All references at once: the values of each table are counted, then matched."""
-    children = {n: REFERENCES[n] for n in tables if n in REFERENCES}
-    used = reduce(DataFrame.unionAll, [
-        _references_used(n, tables[n], list(refs)) for n, refs in children.items()
-    ]).groupBy("table_name", "rule", "key").agg(F.sum("rows").alias("rows"))
-    parents = reduce(DataFrame.unionAll, [
-        tables[parent].selectExpr(
-            f"'{n}' AS table_name", f"'references({c})' AS rule", f"cast({c} AS string) AS key"
-        )
+def _not_null_sql(name: str, columns: Sequence[str]) -> str:
+    counts = ", ".join(f"count_if({c} IS NULL) AS {c}" for c in columns)
+    return f"""
+      SELECT table_name, rule, checked, violations FROM (
+        SELECT '{name}' AS table_name, checked,
+               stack({_pairs({f"not null({c})": c for c in columns})}) AS (rule, violations)
+        FROM (SELECT count(*) AS checked, {counts} FROM {{{name}}}))"""
+
+
+def _dimension_unique_sql(names: Sequence[str]) -> str:
+    """Unique keys of all dimensions in one aggregation, a key being written as one text."""
+    def keys(name: str) -> dict[str, str]:
+        return {
+            f"unique({', '.join(k)})":
+                f"CASE WHEN {_and('{} IS NOT NULL', k)} THEN concat_ws('\\u0001', {', '.join(k)}) END"
+            for k in UNIQUE[name]
+        }
+
+    values = _union([
+        f"SELECT '{n}' AS table_name, stack({_pairs(keys(n))}) AS (rule, key) FROM {{{n}}}" for n in names
+    ])
+    return f"""
+      SELECT table_name, rule, count(*) AS checked, count_if(n > 1) AS violations
+      FROM (SELECT table_name, rule, key, count(*) AS n FROM ({values})
+            WHERE key IS NOT NULL GROUP BY table_name, rule, key)
+      GROUP BY table_name, rule"""
+
+
+def _dimension_not_null_sql(names: Sequence[str]) -> str:
+    """Mandatory columns of all dimensions in one aggregation."""
+    values = _union([
+        f"""SELECT '{n}' AS table_name,
+                   stack({_pairs({f"not null({c})": f"{c} IS NULL" for c in NOT_NULL[n]})}) AS (rule, missing)
+            FROM {{{n}}}"""
+        for n in names
+    ])
+    return f"""
+      SELECT table_name, rule, count(*) AS checked, count_if(missing) AS violations
+      FROM ({values}) GROUP BY table_name, rule"""
+
+
+def _references_sql(children: Mapping[str, Mapping[str, str]]) -> str:
+    """All references at once. Combinations of a table's reference columns are counted first, from
+    one scan; there are far fewer of them than rows, and only they become (rule, key) pairs."""
+    used = _union([
+        f"""SELECT '{n}' AS table_name, uses,
+                   stack({_pairs({f"references({c})": f"cast({c} AS string)" for c in refs})}) AS (rule, key)
+            FROM (SELECT {", ".join(refs)}, count(*) AS uses FROM {{{n}}} GROUP BY {", ".join(refs)})"""
+        for n, refs in children.items()
+    ])
+    known = _union([
+        f"SELECT '{n}' AS table_name, 'references({c})' AS rule, cast({c} AS string) AS key FROM {{{parent}}}"
         for n, refs in children.items() for c, parent in refs.items()
-    ]).distinct().withColumn("found", F.lit(True))
-    return used.join(parents, ["table_name", "rule", "key"], "left").groupBy("table_name", "rule").agg(
-        F.sum("rows").alias("checked"),
-        F.sum(F.when(F.col("found"), 0).otherwise(F.col("rows"))).alias("violations"),
-    )
+    ])
+    return f"""
+      SELECT table_name, rule, sum(uses) AS checked, sum(if(found, 0, uses)) AS violations
+      FROM (SELECT table_name, rule, key, sum(uses) AS uses FROM ({used})
+            WHERE key IS NOT NULL GROUP BY table_name, rule, key)
+      LEFT JOIN (SELECT DISTINCT *, true AS found FROM ({known})) USING (table_name, rule, key)
+      GROUP BY table_name, rule"""
 
 
 def integrity_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per declared rule of the given tables: what was checked and what breaks it."""
-    small = {n: df for n, df in tables.items() if n in DIMENSIONS}
-    parts = _dimension_rules(small) if small else []
-    for name, df in tables.items():
+    small = [n for n in tables if n in DIMENSIONS]
+    parts = [_dimension_unique_sql(small), _dimension_not_null_sql(small)] if small else []
+    for name in tables:
         if name not in small:
-            parts += [_unique_rule(name, df, keys) for keys in UNIQUE[name]]
-            parts.append(_not_null_rules(name, df, NOT_NULL[name]))
-    if any(n in REFERENCES for n in tables):
-        parts.append(_reference_rules(tables))
-    return reduce(DataFrame.unionAll, parts)
+            parts += [_unique_sql(name, keys) for keys in UNIQUE[name]]
+            parts.append(_not_null_sql(name, NOT_NULL[name]))
+    children = {n: REFERENCES[n] for n in tables if n in REFERENCES}
+    if children:
+        parts.append(_references_sql(children))
+    spark = next(iter(tables.values())).sparkSession
+    return spark.sql(_union(parts), **tables)
 
 
 def assert_integrity(tables: Mapping[str, DataFrame]) -> None:
