@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded with an end id and decoded again, as digests."""
+    return pieces.encode_digests(table(spark, folder, "documents"), piece_model())
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its source's target and the words the mix takes of it."""
     return mixing.mix_table(table(spark, folder, "documents")).select(
@@ -24,6 +35,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op6_sentencepiece": op6_sentencepiece,
         "op10_mixing": op10_mixing,
     }
 
