@@ -8,9 +8,11 @@ import heapq
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,10 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model file
 #: Words a task remembers with their pieces; longer words are never kept.
-CACHE_WORDS, CACHE_CHARS = 200_000, 64
+CACHE_WORDS, CACHE_CHARS = 150_000, 64
+NONE = float("-inf")
+FIRST, SECOND = itemgetter(0), itemgetter(1)
+NO_RANK = np.int32(2**31 - 1)
 
 
 def _each_byte(error: UnicodeDecodeError):
@@ -89,7 +94,92 @@ class PieceModel:
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.score)
         line = "" if any("\n" in p and len(p) > 1 for p in self.score) else "\n"
         self.word = re.compile(rf"{SPACE}*[^{SPACE}{line}]+|{SPACE}+|{line or '(?!)'}")
+        self.single = {
+            p: (i, len(p.encode()) - 2 * p.count(SPACE)) for p, i in self.ids.items()
+        }
+        self.length = [len(p) for p, _, _ in pieces]
+        self._rank_pairs(len(pieces))
         self.known: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+
+    def _rank_pairs(self, count: int) -> None:
+        """Every pair of pieces that joins to a piece, as sorted numbers, with its rank by score."""
+        order = {v: r for r, v in enumerate(sorted(set(self.score.values()), reverse=True))}
+        pairs = sorted(
+            (self.ids[p[:i]] * count + self.ids[p[i:]], order[v], self.ids[p])
+            for p, v in self.score.items() for i in range(1, len(p))
+            if p[:i] in self.ids and p[i:] in self.ids
+        )
+        table = np.array(pairs or [(-1, 0, 0)], dtype=np.int64)
+        self.pair, self.pair_rank, self.pair_id = (
+            np.ascontiguousarray(table[:, 0]), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)
+        )
+        self.count = count
+        self.character = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.character[ord(p)] = i
+        # pieces of two unknown characters or more would merge without ids; then words go one by one
+        self.batches = all(c in self.ids for p in self.score for c in p)
+        self.width = np.zeros(count, np.int64)
+        for i, w in self.single.values():
+            self.width[i] = w
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left.astype(np.int64) * self.count + right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.pair_rank[at], NO_RANK), self.pair_id[at]
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Remember the pieces of many words at once: words of one length are merged in step."""
+        by_length: dict[int, list[str]] = {}
+        for word in words:
+            if len(word) <= CACHE_CHARS and word not in self.known:
+                if (entry := self.older.get(word)) is not None:
+                    self.known[word] = entry
+                else:
+                    by_length.setdefault(len(word), []).append(word)
+        for length, alike in by_length.items():
+            codes = "".join(alike).encode("utf-32-le", "surrogatepass")
+            pieces = self.character[np.frombuffer(codes, np.uint32).reshape(-1, length)]
+            usable = (pieces >= 0).all(1) if self.batches else np.zeros(len(alike), bool)
+            for i in np.flatnonzero(~usable).tolist():
+                self.known[alike[i]] = self.word_pieces(alike[i])
+            for where, ids in self._merge_many(pieces[usable]):
+                names = np.flatnonzero(usable)[where].tolist()
+                for i, own, widths in zip(names, ids.tolist(), self.width[ids].tolist()):
+                    self.known[alike[i]] = tuple(own), tuple(widths)
+        if len(self.known) >= CACHE_WORDS:
+            self.known, self.older = {}, self.known
+
+    def _merge_many(self, pieces: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, their ids) as rows end; each step joins the best pair of every row that has one."""
+        where = np.arange(len(pieces))
+        rank, joined = self._ranked(pieces[:, :-1], pieces[:, 1:])
+        while len(pieces):
+            if pieces.shape[1] == 1:
+                yield where, pieces
+                return
+            best = rank.argmin(1)
+            rows = np.arange(len(pieces))
+            more = rank[rows, best] != NO_RANK
+            if not more.all():
+                yield where[~more], pieces[~more]
+                where, pieces, rank, joined, best = where[more], pieces[more], rank[more], joined[more], best[more]
+                rows = np.arange(len(pieces))
+                if not len(pieces):
+                    return
+            column = np.arange(pieces.shape[1] - 1)
+            merged = joined[rows, best]
+            pieces = np.take_along_axis(pieces, column + (column > best[:, None]), 1)
+            pieces[rows, best] = merged
+            column = column[:-1]
+            shift = column + (column >= best[:, None])
+            rank, joined = np.take_along_axis(rank, shift, 1), np.take_along_axis(joined, shift, 1)
+            for at in (best - 1, best):  # the pairs on both sides of the joined piece are new
+                own = np.flatnonzero((at >= 0) & (at < len(column)))
+                at = at[own]
+                rank[own, at], joined[own, at] = self._ranked(pieces[own, at], pieces[own, at + 1])
 
     def normalise(self, text: str) -> tuple[str, list[int]]:
         """The text the merges see, and for each of its characters the source byte it comes from.
@@ -135,16 +225,16 @@ class PieceModel:
         """Join the best-scored pair, leftmost first, until no pair is a piece."""
         if len(word) > CACHE_CHARS:
             return self._merge_long(word)
-        parts, score = list(word), self.score
-        while len(parts) > 1:
-            best, where = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, where = s, i
-            if best is None:
-                break
-            parts[where:where + 2] = [parts[where] + parts[where + 1]]
+        parts, score = list(word), self.score.get
+        pairs = [score(a + b, NONE) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) != NONE:
+            i = pairs.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], NONE)
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], NONE)
         return parts
 
     def _merge_long(self, word: str) -> list[str]:
@@ -173,54 +263,72 @@ class PieceModel:
             offer(i)
         return [p for p in parts if p is not None]
 
-    def word_pieces(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]:
-        """Ids, source bytes each covers if a mark stands for a space, and characters each covers."""
+    def word_pieces(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """Ids, and the source bytes each covers if a mark stands for a space."""
+        parts, single = self.merge(word), self.single
+        if all(p in single for p in parts):
+            return tuple(zip(*[single[p] for p in parts]))
         ids: list[int] = []
         widths: list[int] = []
-        chars: list[int] = []
-        for part in self.merge(word):
-            found = self.ids.get(part)
-            width = len(part.encode("utf-8", "surrogatepass")) - 2 * part.count(SPACE)
-            if found is None and self.byte_ids:  # an unknown character: bytes, the last has the span
-                data = part.encode("utf-8", "surrogatepass")
-                ids += [self.byte_ids[b] for b in data]
-                widths += [0] * (len(data) - 1) + [width]
-                chars += [0] * (len(data) - 1) + [len(part)]
+        for part in parts:
+            if part in single:
+                ids.append(single[part][0])
+                widths.append(single[part][1])
             else:
-                ids.append(self.unknown if found is None else found)
-                widths.append(width)
-                chars.append(len(part))
-        return tuple(ids), tuple(widths), tuple(chars)
-
-    def _words(self, normal: str) -> list:
-        known, found = self.known, []
-        for word in self.word.findall(normal) if self.cuts else [normal] * bool(normal):
-            entry = known.get(word)
+                data = part.encode("utf-8", "surrogatepass")
+                if self.byte_ids:  # an unknown character: bytes, the last has the span
+                    ids += [self.byte_ids[b] for b in data]
+                    widths += [0] * (len(data) - 1) + [len(data)]
+                else:
+                    ids.append(self.unknown)
+                    widths.append(len(data))
+        return tuple(ids), tuple(widths)
+
+    def _words(self, names: list[str]) -> list:
+        new, old, found = self.known, self.older, []
+        for word in names:
+            entry = new.get(word)
             if entry is None:
-                entry = self.word_pieces(word)
+                entry = old.get(word) or self.word_pieces(word)
                 if len(word) <= CACHE_CHARS:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    known[word] = entry
+                    if len(new) >= CACHE_WORDS:
+                        self.known, self.older = new, old = {}, new
+                    new[word] = entry
             found.append(entry)
         return found
 
+    def _characters(self, ids, widths) -> list[int]:
+        """Characters of the normalised text each piece covers."""
+        byte = set(self.byte_ids.values())
+        return [
+            (w > 0) if i in byte else 1 if i == self.unknown else self.length[i] for i, w in zip(ids, widths)
+        ]
+
+    def prepare(self, text: str) -> tuple[list[str], list[int] | None]:
+        """The words the merges see; the sources of their characters unless a width says it all."""
+        if self.map is None and not self.squeeze and self.escape and SPACE not in text:
+            normal, source = (SPACE if self.prefix and text else "") + text.replace(" ", SPACE), None
+        else:
+            normal, source = self.normalise(text)
+        return self.word.findall(normal) if self.cuts else [normal] * bool(normal), source
+
     def encode(self, text: str, end: bool = True) -> tuple[array, array, array]:
         """Ids, and the byte spans [begin, end) of the source each id stands for."""
-        plain = self.map is None and not self.squeeze and self.escape and SPACE not in text
-        if plain:
-            normal = (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
-            words = self._words(normal)
-            borders = array("q", accumulate(chain.from_iterable(w[1] for w in words), initial=0))
-            if self.prefix and text:  # the mark put in front has no source
-                borders = array("q", [0, *(b - 1 for b in borders[1:])])
-                borders[0] = 0
+        return self.encode_words(*self.prepare(text), end)
+
+    def encode_words(
+        self, names: list[str], source: list[int] | None, end: bool = True
+    ) -> tuple[array, array, array]:
+        words = self._words(names)
+        if source is None:
+            widths = chain.from_iterable(map(SECOND, words))
+            if self.prefix and words:  # the mark put in front has no source
+                widths = chain((next(widths) - 1,), widths)
+            borders = array("q", accumulate(widths, initial=0))
         else:
-            normal, source = self.normalise(text)
-            words = self._words(normal)
-            places = accumulate(chain.from_iterable(w[2] for w in words), initial=0)
+            places = accumulate(chain.from_iterable(self._characters(*w) for w in words), initial=0)
             borders = array("q", (source[p] for p in places))
-        ids = array("i", chain.from_iterable(w[0] for w in words))
+        ids = array("i", chain.from_iterable(map(FIRST, words)))
         begins, ends = borders[:-1], borders[1:]
         if end and self.end is not None:
             ids.append(self.end)
@@ -228,6 +336,11 @@ class PieceModel:
             ends.append(borders[-1])
         return ids, begins, ends
 
+    def encode_many(self, texts: list[str]) -> Iterator[tuple[array, array, array]]:
+        prepared = [self.prepare(text) for text in texts]
+        self.learn(set(chain.from_iterable(map(FIRST, prepared))))
+        return (self.encode_words(*p) for p in prepared)
+
     def decode(self, ids) -> str:
         """The text of a list of ids; broken UTF-8 gives one replacement character a byte."""
         data = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -260,7 +373,7 @@ def encode_digests(
     The lists are hashed where they are made, so that they need not leave the task. ``n_bytes`` is
     the end of the last span, the length of the source.
     """
-    return _encoded(documents, model_path, id_col, text_col, 2048, digests=True)
+    return _encoded(documents, model_path, id_col, text_col, 512, digests=True)
 
 
 def _encoded(documents, model_path, id_col, text_col, rows_a_batch, digests):
@@ -278,8 +391,7 @@ def _encoded(documents, model_path, id_col, text_col, rows_a_batch, digests):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 if digests:
                     rows = []
-                    for text in texts:
-                        ids, _, ends = model.encode(text)
+                    for ids, _, ends in model.encode_many(texts):
                         rows.append((
                             len(ids), hashlib.sha256(" ".join(map(text_of.__getitem__, ids)).encode()).hexdigest(),
                             hashlib.sha256(model.decode(ids).encode("utf-8", "surrogatepass")).hexdigest(),
@@ -287,7 +399,7 @@ def _encoded(documents, model_path, id_col, text_col, rows_a_batch, digests):
                         ))
                     types = [pa.int64(), pa.string(), pa.string(), pa.int64()]
                 else:
-                    rows = [model.encode(text) for text in texts]
+                    rows = list(model.encode_many(texts))
                     types = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*rows), types))],

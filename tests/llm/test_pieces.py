@@ -28,12 +28,10 @@ TEXTS = [
 
 
 def spans(library, text):
-    proto = sentencepiece.sentencepiece_model_pb2 if hasattr(sentencepiece, "sentencepiece_model_pb2") else None
     from sentencepiece import sentencepiece_pb2
 
     parsed = sentencepiece_pb2.SentencePieceText()
     parsed.ParseFromString(library.encode(text, out_type="serialized_proto"))
-    del proto
     return [(p.id, p.begin, p.end) for p in parsed.pieces]
 
 
@@ -43,6 +41,16 @@ def check(library, model, text):
     assert list(ids) == want
     assert model.decode(ids) == library.decode(want)
     assert list(zip(ids, begins, ends))[:-1] == spans(library, text)
+    alike = model.encode_words(*model.prepare(text))
+    model.learn(set(model.prepare(text)[0]))
+    assert alike == model.encode_words(*model.prepare(text)) == (ids, begins, ends)
+
+
+def test_many_words_at_once(library):
+    with open(piece_model(), "rb") as file:
+        fresh = pieces.PieceModel(file.read())
+    for text, got in zip(TEXTS, fresh.encode_many(TEXTS)):
+        assert list(got[0]) == library.encode(text, add_eos=True)
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -106,7 +114,7 @@ def test_longest_prefix_of_the_character_map():
 
 def test_normalised_text_knows_its_source(model):
     mapped = pieces.PieceModel.__new__(pieces.PieceModel)
-    mapped.__dict__.update(model.__dict__, map=pieces.CharMap(trie({"fi": "ph", "Q": ""})), squeeze=True, known={})
+    mapped.__dict__.update(model.__dict__, map=pieces.CharMap(trie({"fi": "ph", "Q": ""})), squeeze=True, known={}, older={})
     normal, source = mapped.normalise("  fiQ  aé ")
     assert normal == "▁ph▁aé"
     assert source[:6] == [2, 2, 2, 5, 7, 8]
