@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces
+from . import mixing, pieces, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every text that repeat an earlier 100-byte passage, and what is kept."""
+    return suffix_dedup.repeat_digests(table(spark, folder, "documents"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -35,6 +40,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op6_sentencepiece": op6_sentencepiece,
         "op10_mixing": op10_mixing,
     }
@@ -42,5 +48,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_array_dedup": suffix_dedup.SQL,
         "op10_mixing": mixing.SQL,
     }
