@@ -164,3 +164,55 @@ def per_bucket(mailbox: DataFrame, run: Callable[[list[tuple[int, bytes]]], list
         return messages(run(sent))
 
     return mailbox.groupBy("bucket").applyInArrow(bucket, schema)
+
+
+def is_in(values: np.ndarray, sorted_names: np.ndarray) -> np.ndarray:
+    if not len(sorted_names):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(sorted_names, values), len(sorted_names) - 1)
+    return sorted_names[at] == values
+
+
+def _shared(sent: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
+    keys = [np.frombuffer(blob, np.uint64) for _, blob in sent]
+    names, counts = np.unique(np.concatenate(keys), return_counts=True)
+    names = names[counts > 1]
+    found = [(sender, own[is_in(own, names)]) for (sender, _), own in zip(sent, keys)]
+    return [(0, sender, own.tobytes()) for sender, own in found if len(own)]
+
+
+def keys_elsewhere(chunks: DataFrame, keys_of: Callable[[dict], np.ndarray], count: int) -> DataFrame:
+    """Messages to each chunk: those of its sorted distinct 64-bit keys that other chunks have too."""
+
+    def keys(chunk: dict) -> pa.Table:
+        names = keys_of(chunk)
+        return messages([(b, chunk["chunk"], names[s].tobytes()) for b, s in cuts(bucket_of(names, count))])
+
+    return per_bucket(each_chunk(chunks, keys, MESSAGE), _shared)
+
+
+def keys_of_messages(sent: list[bytes]) -> np.ndarray:
+    return np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in sent] or [np.empty(0, np.uint64)]))
+
+
+NO_ID = np.int64(-(2**63))  # a null id comes before all others
+
+
+def chunk_ids(chunk: dict) -> np.ndarray:
+    return np.array([NO_ID if i is None else i for i in chunk["ids"]], np.int64)
+
+
+def chunk_bytes_of(chunk: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, their sizes); null texts have none."""
+    return np.frombuffer(unpack(chunk["data"])[0], np.uint8), np.maximum(np.array(chunk["sizes"], np.int64), 0)
+
+
+def rows_table(rows: list[tuple], ddl: str) -> pa.Table:
+    """Rows as a table of the named types."""
+    kinds = {
+        "bigint": pa.int64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64()), "binary": pa.binary(),
+        "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(),
+    }
+    columns = [c.split() for c in ddl.split(", ")]
+    data = list(zip(*rows)) if rows else [()] * len(columns)
+    return pa.table({name: pa.array(list(d), kinds[kind]) for (name, kind), d in zip(columns, data)})

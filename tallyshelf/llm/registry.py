@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, suffix_dedup
+from . import mixing, pieces, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, folder, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every text that 13-word passages of earlier documents cover, and what is kept."""
+    return substring_dedup.repeat_digests(table(spark, folder, "documents"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -41,6 +46,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
+        "op2_substring_dedup": op2_substring_dedup,
         "op6_sentencepiece": op6_sentencepiece,
         "op10_mixing": op10_mixing,
     }
@@ -49,5 +55,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_array_dedup": suffix_dedup.SQL,
+        "op2_substring_dedup": substring_dedup.SQL,
         "op10_mixing": mixing.SQL,
     }

@@ -20,28 +20,19 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.tables import cut_lineage
 from .anchors import Segments, hashes, mixed, prefix_sums, segments
 from .chunks import (
-    MESSAGE, bucket_of, buckets_for, cuts, each_chunk, messages, pack, per_bucket, per_chunk, rest_of, unpack,
-    write_chunks,
+    MESSAGE, bucket_of, buckets_for, chunk_bytes_of, chunk_ids, cuts, is_in, keys_elsewhere, keys_of_messages,
+    messages, pack, per_bucket, per_chunk, rest_of, rows_table, unpack, write_chunks,
 )
 from .suffixes import shared_prefixes, suffix_array
 
 WINDOW, GRAM = 100, 32
 #: Tokens of the suffix array: cut at the smallest 4-byte hash of every 16 bytes.
 CUT_WINDOW, CUT_GRAM = 16, 4
-NO_ID = np.int64(-(2**63))  # a null id comes before all others
-
-
-def _read(chunk: dict) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(unpack(chunk["data"])[0], np.uint8)
-    return data, np.maximum(np.array(chunk["sizes"], np.int64), 0)
-
-
-def _ids(chunk: dict) -> np.ndarray:
-    return np.array([NO_ID if i is None else i for i in chunk["ids"]], np.int64)
 
 
 def window_classes(texts: list[bytes], counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -145,27 +136,6 @@ def _shard(sent: list[tuple[int, bytes]], window: int) -> list[tuple[int, int, b
     return [(0, c, pack(begin[s], end[s])) for c, s in cuts(to)]
 
 
-def _repeated_keys(sent: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """To each chunk, those of its keys that other chunks have too."""
-    keys = [np.frombuffer(blob, np.uint64) for _, blob in sent]
-    names, counts = np.unique(np.concatenate(keys), return_counts=True)
-    names = names[counts > 1]
-    back = []
-    for (sender, _), own in zip(sent, keys):
-        at = np.minimum(np.searchsorted(names, own), max(len(names) - 1, 0))
-        own = own[names[at] == own] if len(names) else own[:0]
-        if len(own):
-            back.append((0, sender, own.tobytes()))
-    return back
-
-
-def is_in(values: np.ndarray, sorted_names: np.ndarray) -> np.ndarray:
-    if not len(sorted_names):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(sorted_names, values), len(sorted_names) - 1)
-    return sorted_names[at] == values
-
-
 def _removed(documents: DataFrame, run, schema: str, window: int, keep: bool, options: dict) -> DataFrame:
     """``run(chunk, bytes, sizes, removed)`` of every chunk, where ``removed`` flags bytes."""
     gram = min(GRAM, max(1, window // 3))
@@ -174,24 +144,22 @@ def _removed(documents: DataFrame, run, schema: str, window: int, keep: bool, op
     chunks = write_chunks(documents, keep=keep, **options)
     count = buckets_for(chunks)
 
-    def keys(chunk: dict) -> pa.Table:
-        data, sizes = _read(chunk)
-        names = np.unique(segments(data, sizes, window, gram).key)
-        return messages([(b, chunk["chunk"], names[s].tobytes()) for b, s in cuts(bucket_of(names, count))])
+    def keys(chunk: dict) -> np.ndarray:
+        return np.unique(segments(*chunk_bytes_of(chunk), window, gram).key)
 
     plain = chunks.select("chunk", "ids", "sizes", "data")
-    repeated = per_bucket(each_chunk(plain, keys, MESSAGE), _repeated_keys)
+    repeated = keys_elsewhere(plain, keys, count)
 
     def around(chunk: dict, sent: list[bytes]) -> pa.Table:
-        data, sizes = _read(chunk)
+        data, sizes = chunk_bytes_of(chunk)
         found = segments(data, sizes, window, gram)
-        elsewhere = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in sent] or [np.empty(0, np.uint64)]))
+        elsewhere = keys_of_messages(sent)
         names, inverse, counts = np.unique(found.key, return_inverse=True, return_counts=True)
         found = found.take(np.flatnonzero((counts[inverse] > 1) | is_in(found.key, elsewhere)))
         if not len(found):
             return messages([])
         owner = np.searchsorted(np.cumsum(sizes), found.first, "right")
-        ids = _ids(chunk)
+        ids = chunk_ids(chunk)
         order = np.empty(len(ids), np.int64)
         order[np.argsort(ids, kind="stable")] = np.arange(len(ids))
         lead, others = _distinct(found, order[owner])
@@ -221,7 +189,7 @@ def _removed(documents: DataFrame, run, schema: str, window: int, keep: bool, op
     local = sent.filter("bucket < 0")
 
     def cut(chunk: dict, parts: list[bytes]) -> pa.Table:
-        data, sizes = _read(chunk)
+        data, sizes = chunk_bytes_of(chunk)
         edge = np.zeros(len(data) + 1, np.int64)
         for begin, end in map(unpack, parts):
             np.add.at(edge, begin, 1)
@@ -255,7 +223,7 @@ def repeat_digests(documents: DataFrame, *, window: int = WINDOW, **options) ->
             gone = removed[begin:end]
             kept = data[begin:end][~gone].tobytes()
             out.append((ident, size, int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(kept).hexdigest()))
-        return _table(out, DIGEST)
+        return rows_table(out, DIGEST)
 
     return _removed(documents, run, DIGEST, window, False, options)
 
@@ -272,7 +240,7 @@ def repeat_spans(documents: DataFrame, *, window: int = WINDOW, **options) -> Da
             begin, end = end, end + size
             first, last = _runs(removed[begin:end])
             out.append((ident, size, first.tolist(), last.tolist()))
-        return _table(out, SPANS)
+        return rows_table(out, SPANS)
 
     return _removed(documents, run, SPANS, window, False, options)
 
@@ -283,8 +251,6 @@ def without_repeats(documents: DataFrame, *, window: int = WINDOW, text_col: str
     Where a cut runs through a character of several bytes, the rest of that character goes too. Null
     texts stay null.
     """
-    from pyspark.sql import functions as F
-
     others = [f for f in documents.schema.fields if f.name != text_col]
     row = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in others)
 
@@ -302,13 +268,6 @@ def without_repeats(documents: DataFrame, *, window: int = WINDOW, text_col: str
     ])
 
 
-def _table(rows: list[tuple], ddl: str) -> pa.Table:
-    kinds = {"bigint": pa.int64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
-    columns = [c.split() for c in ddl.split(", ")]
-    data = list(zip(*rows)) if rows else [()] * len(columns)
-    return pa.table({name: pa.array(list(d), kinds[kind]) for (name, kind), d in zip(columns, data)})
-
-
 SQL = """
 WITH bytes AS (
   SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS hex FROM documents
