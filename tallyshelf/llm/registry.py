@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, substring_dedup, suffix_dedup
+from . import embedding_dedup, mixing, pieces, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeat_digests(table(spark, folder, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector with the number of near-duplicates under its label and the component they make."""
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -47,6 +52,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op6_sentencepiece": op6_sentencepiece,
         "op10_mixing": op10_mixing,
     }
@@ -56,5 +62,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_array_dedup": suffix_dedup.SQL,
         "op2_substring_dedup": substring_dedup.SQL,
+        "op3_embedding_dedup": embedding_dedup.SQL,
         "op10_mixing": mixing.SQL,
     }
