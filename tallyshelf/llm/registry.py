@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, pieces, substring_dedup, suffix_dedup
+from . import embedding_dedup, mixing, neighbours, pieces, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,11 @@ def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors found for each vector whose id is divisible by 100."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -53,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_embedding_dedup": op3_embedding_dedup,
+        "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_sentencepiece": op6_sentencepiece,
         "op10_mixing": op10_mixing,
     }
