@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, neighbours, pieces, substring_dedup, suffix_dedup
+from . import embedding_dedup, language, mixing, neighbours, pieces, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +32,7 @@ def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors found for each vector whose id is divisible by 100."""
-    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+    return neighbours.nearest(table(spark, folder, "embeddings"), "vec_id % 100 = 0")
 
 
 def piece_model() -> str:
@@ -47,6 +46,11 @@ def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_digests(table(spark, folder, "documents"), piece_model())
 
 
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every text, learned from two thirds of the documents' labels."""
+    return language.fit_and_predict(table(spark, folder, "documents"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its source's target and the words the mix takes of it."""
     return mixing.mix_table(table(spark, folder, "documents")).select(
@@ -61,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op3_embedding_dedup": op3_embedding_dedup,
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_sentencepiece": op6_sentencepiece,
+        "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
     }
 
