@@ -124,7 +124,8 @@ def segments(symbols: np.ndarray, sizes: np.ndarray, window: int, gram: int) ->
             anchor = place[head]
             content = mixed(hashes(sums, head, tail + window) ^ mixed((anchor - head).astype(np.uint64) + np.uint64(1)))
             content = mixed(content + (tail - head).astype(np.uint64))
-            found.append(Segments(starts[head], starts[tail], anchor + at, key[anchor], content))
+            # smallest hashes crowd at zero: mixed again, they spread over the buckets
+            found.append(Segments(starts[head], starts[tail], anchor + at, mixed(key[anchor]), content))
     if not found:
         none = np.empty(0, np.int64)
         return Segments(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
