@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import new_path
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 #: Input bytes for which there is one bucket.
 BUCKET_BYTES = 8 << 20
 
@@ -28,7 +28,7 @@ MESSAGE = "bucket bigint, chunk bigint, payload binary"
 
 
 def pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
 
 def unpack(blob: bytes) -> tuple:
@@ -156,14 +156,14 @@ def each_chunk(
     return chunks.mapInArrow(all_of, schema)
 
 
-def per_bucket(mailbox: DataFrame, run: Callable[[list[tuple[int, bytes]]], list], schema: str = MESSAGE) -> DataFrame:
-    """``run([(chunk, payload)])`` for every bucket gives the messages that go back."""
+def per_bucket(mailbox: DataFrame, run: Callable[[int, list[tuple[int, bytes]]], list]) -> DataFrame:
+    """``run(bucket, [(chunk, payload)])`` for every bucket gives the messages that go back."""
 
     def bucket(table: pa.Table) -> pa.Table:
         sent = list(zip(table.column("chunk").to_pylist(), table.column("payload").to_pylist()))
-        return messages(run(sent))
+        return messages(run(table.column("bucket")[0].as_py(), sent))
 
-    return mailbox.groupBy("bucket").applyInArrow(bucket, schema)
+    return mailbox.groupBy("bucket").applyInArrow(bucket, MESSAGE)
 
 
 def is_in(values: np.ndarray, sorted_names: np.ndarray) -> np.ndarray:
@@ -173,26 +173,35 @@ def is_in(values: np.ndarray, sorted_names: np.ndarray) -> np.ndarray:
     return sorted_names[at] == values
 
 
-def _shared(sent: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
-    keys = [np.frombuffer(blob, np.uint64) for _, blob in sent]
+def codes_of(keys: np.ndarray, count: int) -> np.ndarray:
+    """Bucket and last 32 bits of 64-bit keys. Few keys of a bucket share a code, however many buckets."""
+    return (bucket_of(keys, count).astype(np.uint64) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+
+
+def _shared(bucket: int, sent: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
+    keys = [np.frombuffer(blob, np.uint32) for _, blob in sent]
     names, counts = np.unique(np.concatenate(keys), return_counts=True)
     names = names[counts > 1]
     found = [(sender, own[is_in(own, names)]) for (sender, _), own in zip(sent, keys)]
-    return [(0, sender, own.tobytes()) for sender, own in found if len(own)]
+    head = np.uint32(bucket).tobytes()
+    return [(0, sender, head + own.tobytes()) for sender, own in found if len(own)]
 
 
 def keys_elsewhere(chunks: DataFrame, keys_of: Callable[[dict], np.ndarray], count: int) -> DataFrame:
-    """Messages to each chunk: those of its sorted distinct 64-bit keys that other chunks have too."""
+    """Messages to each chunk: which codes of its keys other chunks have too, for ``sent_codes``."""
 
     def keys(chunk: dict) -> pa.Table:
-        names = keys_of(chunk)
-        return messages([(b, chunk["chunk"], names[s].tobytes()) for b, s in cuts(bucket_of(names, count))])
+        names = np.unique(codes_of(keys_of(chunk), count))
+        buckets, short = (names >> np.uint64(32)).astype(np.int64), names.astype(np.uint32)
+        return messages([(b, chunk["chunk"], short[s].tobytes()) for b, s in cuts(buckets)])
 
     return per_bucket(each_chunk(chunks, keys, MESSAGE), _shared)
 
 
-def keys_of_messages(sent: list[bytes]) -> np.ndarray:
-    return np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in sent] or [np.empty(0, np.uint64)]))
+def sent_codes(sent: list[bytes]) -> np.ndarray:
+    """Sorted codes from the messages of ``keys_elsewhere``."""
+    parts = [np.frombuffer(b, np.uint32).astype(np.uint64) for b in sent]
+    return np.sort(np.concatenate([(p[0] << np.uint64(32)) | p[1:] for p in parts] or [np.empty(0, np.uint64)]))
 
 
 NO_ID = np.int64(-(2**63))  # a null id comes before all others

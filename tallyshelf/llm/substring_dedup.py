@@ -15,11 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..sources.tables import cut_lineage
 from .anchors import Segments, segments
 from .chunks import (
-    MESSAGE, bucket_of, buckets_for, chunk_bytes_of, chunk_ids, cuts, is_in, keys_elsewhere, keys_of_messages,
-    messages, pack, per_bucket, per_chunk, rows_table, unpack, write_chunks,
+    MESSAGE, bucket_of, buckets_for, chunk_bytes_of, chunk_ids, codes_of, cuts, is_in, keys_elsewhere, messages, pack,
+    per_bucket, per_chunk, rows_table, sent_codes, unpack, write_chunks,
 )
 from .fm_index import FmIndex
 from .words import word_borders, word_hashes
@@ -110,13 +109,13 @@ def _removed(documents: DataFrame, run, schema: str, window: int, options: dict)
     plain = chunks.select("chunk", "ids", "sizes", "data")
 
     def keys(chunk: dict) -> np.ndarray:
-        return np.unique(_words(chunk, window, gram)[4].key)
+        return _words(chunk, window, gram)[4].key
 
     repeated = keys_elsewhere(plain, keys, count)
 
     def around(chunk: dict, sent: list[bytes]) -> pa.Table:
         data, begin, end, _, found, doc = _words(chunk, window, gram)
-        known = is_in(found.key, keys_of_messages(sent)) | is_in(found.key, _in_two_documents(found, doc))
+        known = is_in(codes_of(found.key, count), sent_codes(sent)) | is_in(found.key, _in_two_documents(found, doc))
         rows = np.flatnonzero(known)
         found, doc = found.take(rows), doc[rows]
         if not len(found):
@@ -128,7 +127,8 @@ def _removed(documents: DataFrame, run, schema: str, window: int, options: dict)
         lead = rows[np.flatnonzero(head)[np.cumsum(head) - 1]]
         later = doc[rows] > doc[lead]
         twin = ~head & ~later
-        out = [(-1, chunk["chunk"], pack(
+        # spans known here go the same way, in buckets that hand them on
+        out = [(count + chunk["chunk"] % count, chunk["chunk"], pack(
             found.first[rows[later]], found.last[rows[later]] + window, found.first[lead[twin]], found.first[rows[twin]]
         ))]
         own = rows[head]
@@ -144,9 +144,10 @@ def _removed(documents: DataFrame, run, schema: str, window: int, options: dict)
             )))
         return messages(out)
 
-    sent = cut_lineage(per_chunk(plain, repeated, around, MESSAGE), "segments")
-    runs = per_bucket(sent.filter("bucket >= 0"), lambda rows: _shard(rows, window))
-    letters = sent.filter("bucket < 0").unionByName(runs)
+    def shard(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
+        return [(0, c, p) for c, p in rows] if bucket >= count else _shard(rows, window)
+
+    letters = per_bucket(per_chunk(plain, repeated, around, MESSAGE), shard)
 
     def cut(chunk: dict, parts: list[bytes]) -> pa.Table:
         data, sizes = chunk_bytes_of(chunk)

@@ -22,15 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut_lineage
 from .anchors import Segments, hashes, mixed, prefix_sums, segments
 from .chunks import (
-    MESSAGE, bucket_of, buckets_for, chunk_bytes_of, chunk_ids, cuts, is_in, keys_elsewhere, keys_of_messages,
-    messages, pack, per_bucket, per_chunk, rest_of, rows_table, unpack, write_chunks,
+    MESSAGE, bucket_of, buckets_for, chunk_bytes_of, chunk_ids, codes_of, cuts, is_in, keys_elsewhere, messages, pack,
+    per_bucket, per_chunk, rest_of, rows_table, sent_codes, unpack, write_chunks,
 )
 from .suffixes import shared_prefixes, suffix_array
 
-WINDOW, GRAM = 100, 32
+WINDOW, GRAM = 100, 40
 #: Tokens of the suffix array: cut at the smallest 4-byte hash of every 16 bytes.
 CUT_WINDOW, CUT_GRAM = 16, 4
 
@@ -138,14 +137,14 @@ def _shard(sent: list[tuple[int, bytes]], window: int) -> list[tuple[int, int, b
 
 def _removed(documents: DataFrame, run, schema: str, window: int, keep: bool, options: dict) -> DataFrame:
     """``run(chunk, bytes, sizes, removed)`` of every chunk, where ``removed`` flags bytes."""
-    gram = min(GRAM, max(1, window // 3))
+    gram = min(GRAM, max(1, 2 * window // 5))
     if window < CUT_WINDOW + 1:
         raise ValueError(f"the window has to be longer than {CUT_WINDOW} bytes")
     chunks = write_chunks(documents, keep=keep, **options)
     count = buckets_for(chunks)
 
     def keys(chunk: dict) -> np.ndarray:
-        return np.unique(segments(*chunk_bytes_of(chunk), window, gram).key)
+        return segments(*chunk_bytes_of(chunk), window, gram).key
 
     plain = chunks.select("chunk", "ids", "sizes", "data")
     repeated = keys_elsewhere(plain, keys, count)
@@ -153,9 +152,9 @@ def _removed(documents: DataFrame, run, schema: str, window: int, keep: bool, op
     def around(chunk: dict, sent: list[bytes]) -> pa.Table:
         data, sizes = chunk_bytes_of(chunk)
         found = segments(data, sizes, window, gram)
-        elsewhere = keys_of_messages(sent)
+        elsewhere = is_in(codes_of(found.key, count), sent_codes(sent))
         names, inverse, counts = np.unique(found.key, return_inverse=True, return_counts=True)
-        found = found.take(np.flatnonzero((counts[inverse] > 1) | is_in(found.key, elsewhere)))
+        found = found.take(np.flatnonzero((counts[inverse] > 1) | elsewhere))
         if not len(found):
             return messages([])
         owner = np.searchsorted(np.cumsum(sizes), found.first, "right")
@@ -163,7 +162,9 @@ def _removed(documents: DataFrame, run, schema: str, window: int, keep: bool, op
         order = np.empty(len(ids), np.int64)
         order[np.argsort(ids, kind="stable")] = np.arange(len(ids))
         lead, others = _distinct(found, order[owner])
-        rows = [(-1, chunk["chunk"], pack(found.first[others], found.last[others] + window))]
+        # spans known here go the same way, in buckets that hand them on
+        spans = pack(found.first[others], found.last[others] + window)
+        rows = [(count + chunk["chunk"] % count, chunk["chunk"], spans)]
         lead = lead[np.argsort(found.key[lead], kind="stable")]
         bucket = bucket_of(found.key[lead], count)
         raw = data.tobytes()
@@ -176,17 +177,16 @@ def _removed(documents: DataFrame, run, schema: str, window: int, keep: bool, op
             )))
         return messages(rows)
 
-    sent = cut_lineage(per_chunk(plain, repeated, around, MESSAGE), "segments")
-
-    def shard(rows: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
+    def shard(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
+        if bucket >= count:
+            return [(0, c, p) for c, p in rows]
         gc.disable()  # many small lists, no cycles
         try:
             return _shard(rows, window)
         finally:
             gc.enable()
 
-    spans = per_bucket(sent.filter("bucket >= 0"), shard)
-    local = sent.filter("bucket < 0")
+    spans = per_bucket(per_chunk(plain, repeated, around, MESSAGE), shard)
 
     def cut(chunk: dict, parts: list[bytes]) -> pa.Table:
         data, sizes = chunk_bytes_of(chunk)
@@ -196,7 +196,7 @@ def _removed(documents: DataFrame, run, schema: str, window: int, keep: bool, op
             np.add.at(edge, end, -1)
         return run(chunk, data, sizes, np.cumsum(edge[:-1]) > 0)
 
-    return per_chunk(chunks, local.unionByName(spans), cut, schema)
+    return per_chunk(chunks, spans, cut, schema)
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
