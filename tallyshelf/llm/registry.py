@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language, mixing, neighbours, pieces, substring_dedup, suffix_dedup
+from . import embedding_dedup, language, mixing, neighbours, pieces, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,11 @@ def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_digests(table(spark, folder, "documents"), piece_model())
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every text, learned from four fifths of the labelled documents."""
+    return toxicity.fit_and_predict(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every text, learned from two thirds of the documents' labels."""
     return language.fit_and_predict(table(spark, folder, "documents"))
@@ -65,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op3_embedding_dedup": op3_embedding_dedup,
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_sentencepiece": op6_sentencepiece,
+        "op8_toxicity": op8_toxicity,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
     }
