@@ -25,9 +25,9 @@ from .words import word_hashes
 SPAN, DECAY, POWER = 5, 0.7, 3
 #: Longer words are cut into pieces that overlap by half.
 PIECE = 32
-#: Landmarks; bytes of a stem; the share of texts more, the times as many and the least number of texts
-#: that one class has them in; how much of that a longer stem has to keep.
-LANDMARKS, STEM, CONTRAST, TIMES, LEAST, KEPT_SHARE = 64, (4, 8), 0.03, 3, 6, 0.9
+#: Landmarks; bytes of a stem; standard errors between the shares of texts that the classes have a
+#: landmark in; how much of the difference a longer stem has to keep.
+LANDMARKS, STEM, ERRORS, KEPT_SHARE = 64, (4, 8), 8, 0.9
 #: Training rows of each class; passes and strength of regularisation of the machine.
 SAMPLE_ROWS, STEPS, REGULAR = 1500, 800, 1e-4
 FRONT, BACK = 1, 2  # marks around a word
@@ -149,6 +149,10 @@ def _landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
         seen[label].update(own)
     totals = np.maximum(np.bincount(toxic, minlength=2), 1)
     contrast = {w: seen[1][w] / totals[1] - seen[0][w] / totals[0] for w in seen[0] | seen[1]}
+    error = {}  # of the difference if both classes had the word equally often
+    for w in contrast:
+        share = (seen[0][w] + seen[1][w]) / totals.sum()
+        error[w] = np.sqrt(share * (1 - share) * (1 / totals).sum())
     by_stem: dict[bytes, list[bytes]] = {}
     for w in contrast:
         by_stem.setdefault(w[:STEM[0]], []).append(w)
@@ -165,10 +169,9 @@ def _landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
     chosen: list[bytes] = []
     for limit, side in ((LANDMARKS * 3 // 4, 1), (LANDMARKS, -1)):
         for w in sorted(contrast, key=lambda w: (-side * contrast[w], w)):
-            if len(chosen) >= limit or side * contrast[w] < CONTRAST:
+            if len(chosen) >= limit or contrast[w] * side <= 0:
                 break
-            share = [seen[k][w] / totals[k] for k in (0, 1)]
-            if max(share) < TIMES * min(share) or seen[int(side > 0)][w] < min(LEAST, totals[int(side > 0)]):
+            if abs(contrast[w]) < ERRORS * error[w]:
                 continue
             w = longest(w)
             stem = w.rstrip(b"*")
