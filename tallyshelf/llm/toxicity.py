@@ -138,7 +138,7 @@ class Machine:
 
 
 def _landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
-    """Words and stems that one class has in far more texts than the other, unlike each other first."""
+    """Words and stems that far more toxic texts have than others; of a stem's words only one."""
     seen = [Counter(), Counter()]
     for text, label in zip(texts, toxic.tolist()):
         data, begin, end, _ = word_arrays([text])
@@ -167,12 +167,10 @@ def _landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
         return max([w, *alike], key=lambda v: (len(v.rstrip(b"*")), not v.endswith(b"*"), v))
 
     chosen: list[bytes] = []
-    for limit, side in ((LANDMARKS * 3 // 4, 1), (LANDMARKS, -1)):
-        for w in sorted(contrast, key=lambda w: (-side * contrast[w], w)):
-            if len(chosen) >= limit or contrast[w] * side <= 0:
-                break
-            if abs(contrast[w]) < ERRORS * error[w]:
-                continue
+    for w in sorted(contrast, key=lambda w: (-contrast[w], w)):
+        if len(chosen) >= LANDMARKS or contrast[w] <= 0:
+            break
+        if contrast[w] >= ERRORS * error[w]:
             w = longest(w)
             stem = w.rstrip(b"*")
             # a longer or shorter stem of a chosen one says the same

@@ -78,7 +78,7 @@ def test_held_out_accuracy(tables):
 
 
 def test_odd_rows(spark, tables):
-    own = toxicity.train([("you idiot scum", 1)] * 40 + [("the nice day of", 0)] * 60)
+    own = toxicity.train([("an idiot", 1)] * 25 + [("old scum", 1)] * 25 + [("an old nice day", 0)] * 60)
     rows = [(1, None), (2, ""), (None, "such an idiot"), (3, "an id-iot and sc.um"), (3, "a nice day"), (4, "?!. ,"), (5, "z" * 90_000)]
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id bigint, text string, score int")
     got = {}
