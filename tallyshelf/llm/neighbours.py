@@ -24,7 +24,7 @@ from .embedding_dedup import usable
 NEIGHBOURS = 10
 TREES = 4
 #: Vectors a leaf holds, about; vectors the medians are taken of; deepest tree for that sample.
-LEAF, SAMPLE, MAX_DEPTH = 256, 16_384, 12
+LEAF, SAMPLE, MAX_DEPTH = 1024, 16_384, 12
 #: Vectors looked at, as a share of all, counted once for each tree they are found in.
 SEARCH = 1.4
 
@@ -153,22 +153,22 @@ def nearest(
     )
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            out = list(_ranked(left, right, k))
-        columns = zip(*out) if out else ((), (), (), ())
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        out = list(_ranked(left, right, k)) if left.num_rows and right.num_rows else []
+        near = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
         return pa.table({
-            n: pa.array(list(c), t) for n, c, t in zip(("query", "query_id", "vec_id", "score"), columns, kinds)
+            "query": pa.array([o[0] for o in out], pa.int64()), "query_id": pa.array([o[1] for o in out], pa.int64()),
+            "near": pa.array([[{"score": s, "vec_id": v} for s, v in o[2]] for o in out], near),
         })
 
     found = index.groupBy("tree", "leaf").cogroup(asked.groupBy("tree", "leaf")).applyInArrow(
-        rank, "query bigint, query_id bigint, vec_id bigint, score double"
+        rank, "query bigint, query_id bigint, near array<struct<score: double, vec_id: bigint>>"
+    )
+    # at most k pairs of each leaf visited, the leaves visited being a fixed number
+    merged = found.groupBy("query", "query_id").agg(F.flatten(F.collect_list("near")).alias("near"))
+    best = F.slice(F.array_sort(F.array_distinct("near")), 1, k)
+    return merged.select("query_id", F.posexplode(best).alias("place", "near")).select(
+        "query_id", (F.col("place") + 1).alias("rank"), F.col("near.vec_id").alias("vec_id"), F.col("near.score").alias("score")
     )
-    once = found.groupBy("query", "query_id", "vec_id").agg(F.min("score").alias("score"))
-    best = Window.partitionBy("query", "query_id").orderBy("score", "vec_id")
-    ranked = once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -176,8 +176,8 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, width)
 
 
-def _ranked(left: pa.Table, right: pa.Table, k: int) -> Iterator[tuple[int, int, int, float]]:
-    """Each query's nearest in one leaf: (query, query_id, vec_id, distance)."""
+def _ranked(left: pa.Table, right: pa.Table, k: int) -> Iterator[tuple[int, int, list[tuple[float, int]]]]:
+    """Each query's nearest in one leaf: (query, query_id, [(distance, vec_id)])."""
     widths = pc.list_value_length(left.column("embedding")).to_numpy()
     asked = pc.list_value_length(right.column("embedding")).to_numpy()
     for width in np.intersect1d(widths, asked):
@@ -192,5 +192,4 @@ def _ranked(left: pa.Table, right: pa.Table, k: int) -> Iterator[tuple[int, int,
             near = [
                 (float(distance[j]), v) for j in np.flatnonzero(distance <= limit).tolist() for v in ids[j] if v != query_id
             ]
-            for score, v in sorted(near)[:k]:
-                yield query, query_id, v, score
+            yield query, query_id, sorted(near)[:k]

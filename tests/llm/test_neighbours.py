@@ -15,14 +15,10 @@ def brute(rows, k=10):
     out = []
     for q, v in known:
         if q % 20 == 0:
-            near = sorted(
+            near = sorted({
                 (float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())), i) for i, w in known if i != q and len(w) == len(v)
-            )
-            best = []
-            for score, i in near:
-                if i not in [b[1] for b in best]:
-                    best.append((score, i))
-            out += [(q, rank, i, score) for rank, (score, i) in enumerate(best[:k], 1)]
+            })
+            out += [(q, rank, i, score) for rank, (score, i) in enumerate(near[:k], 1)]
     return sorted(out)
 
 
