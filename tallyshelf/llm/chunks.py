@@ -204,6 +204,35 @@ def sent_codes(sent: list[bytes]) -> np.ndarray:
     return np.sort(np.concatenate([(p[0] << np.uint64(32)) | p[1:] for p in parts] or [np.empty(0, np.uint64)]))
 
 
+def _shared_flags(bucket: int, sent: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
+    keys = [np.frombuffer(blob, np.uint32) for _, blob in sent]
+    names, counts = np.unique(np.concatenate(keys), return_counts=True)
+    names = names[counts > 1]
+    head = np.uint32(bucket).tobytes()
+    return [(0, sender, head + np.packbits(is_in(own, names)).tobytes()) for (sender, _), own in zip(sent, keys)]
+
+
+def flags_elsewhere(chunks: DataFrame, codes: Callable[[dict], np.ndarray]) -> DataFrame:
+    """Messages to each chunk: a bit for each of its sorted distinct codes, set if other chunks have it."""
+
+    def keys(chunk: dict) -> pa.Table:
+        names = codes(chunk)
+        buckets, short = (names >> np.uint64(32)).astype(np.int64), names.astype(np.uint32)
+        return messages([(b, chunk["chunk"], short[s].tobytes()) for b, s in cuts(buckets)])
+
+    return per_bucket(each_chunk(chunks, keys, MESSAGE), _shared_flags)
+
+
+def sent_flags(names: np.ndarray, sent: list[bytes]) -> np.ndarray:
+    """The bits of ``flags_elsewhere`` for the chunk's sorted distinct codes."""
+    out = np.zeros(len(names), bool)
+    slices = dict(cuts((names >> np.uint64(32)).astype(np.int64)))
+    for blob in sent:
+        own = slices[int(np.frombuffer(blob[:4], np.uint32)[0])]
+        out[own] = np.unpackbits(np.frombuffer(blob[4:], np.uint8), count=own.stop - own.start)
+    return out
+
+
 NO_ID = np.int64(-(2**63))  # a null id comes before all others
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language, mixing, neighbours, pieces, substring_dedup, suffix_dedup, toxicity
+from . import embedding_dedup, jaccard, language, mixing, neighbours, pieces, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,11 @@ def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_digests(table(spark, folder, "documents"), piece_model())
 
 
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its number of shingles and the group of near-duplicates it is in."""
+    return jaccard.similar_rows(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every text, learned from four fifths of the labelled documents."""
     return toxicity.fit_and_predict(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -70,6 +75,7 @@ def queries() -> dict[str, Query]:
         "op3_embedding_dedup": op3_embedding_dedup,
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_toxicity": op8_toxicity,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
@@ -81,5 +87,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_suffix_array_dedup": suffix_dedup.SQL,
         "op2_substring_dedup": substring_dedup.SQL,
         "op3_embedding_dedup": embedding_dedup.SQL,
+        "op7_ngram_jaccard": jaccard.SQL,
         "op10_mixing": mixing.SQL,
     }
