@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut_lineage
 from .anchors import mixed
 from .chunks import (
-    buckets_for, chunk_bytes_of, codes_of, flags_elsewhere, per_chunk, sent_flags, write_chunks,
+    buckets_for, chunk_bytes_of, codes_of, flags_elsewhere, per_chunk, rest_of, sent_flags,
+    write_chunks,
 )
 from .components import component_roots
 from .count_tree import candidates, count_vector, groups_for
@@ -215,7 +216,7 @@ def _across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 def similar_rows(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-    percent: int = PERCENT, **options,
+    percent: int = PERCENT, chunks: DataFrame | None = None, **options,
 ) -> DataFrame:
     """One row per input row: row, doc_id, n_shingles, component_id, leader.
 
@@ -224,8 +225,9 @@ def similar_rows(
     one shingle. Null texts and texts without words have no shingles and link with nothing.
     ``component_id`` is the smallest id reachable over links, null ids last. ``leader`` is true for
     one row of each component, the first with that id. Ids may repeat; an empty table gives no rows.
+    ``chunks`` are the documents as ``write_chunks`` packed them, if that is done.
     """
-    chunks = write_chunks(documents, id_col=id_col, text_col=text_col, **options)
+    chunks = chunks if chunks is not None else write_chunks(documents, id_col=id_col, text_col=text_col, **options)
     count = buckets_for(chunks)
     plain = chunks.select("chunk", "ids", "sizes", "data")
 
@@ -287,6 +289,36 @@ def similar_rows(
     return linked.unionByName(alone)
 
 
+def without_similar(documents: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The documents with one row of each component left, columns as given; rows without words all stay."""
+    chunks = write_chunks(documents, keep=True, text_col=text_col, **{k: options[k] for k in ("id_col",) if k in options})
+    gone = similar_rows(documents, text_col=text_col, chunks=chunks, **options).filter("NOT leader")
+    chunk = F.expr("((row >> 40) << 32) | ((row >> 18) & 4194303)")
+    letters = gone.select(chunk.alias("chunk"), F.expr("row & 262143").alias("place")).groupBy("chunk").agg(
+        F.collect_list("place").alias("payload")  # at most the rows of a chunk
+    )
+    others = [f for f in documents.schema.fields if f.name != text_col]
+    rest = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in others)
+
+    def stay(chunk: dict, sent: list[list[int]]) -> pa.Table:
+        data, sizes = chunk_bytes_of(chunk)
+        raw, ends = data.tobytes(), np.cumsum(sizes)
+        keep = np.ones(len(sizes), bool)
+        for places in sent:
+            keep[places] = False
+        texts = [
+            None if chunk["sizes"][i] < 0 else raw[ends[i] - sizes[i]:ends[i]].decode("utf-8", "surrogatepass")
+            for i in np.flatnonzero(keep).tolist()
+        ]
+        kept = rest_of(chunk["rest"]).combine_chunks().filter(pa.array(keep))
+        return pa.table({"_text": pa.array(texts, pa.string()), "_rest": kept})
+
+    left = per_chunk(chunks, letters, stay, f"_text string, _rest struct<{rest}>")
+    return left.select(*[
+        F.col("_text").alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in documents.columns
+    ])
+
+
 SQL = r"""
 WITH RECURSIVE texts AS (
   SELECT doc_id, regexp_extract_all(

@@ -115,6 +115,7 @@ class PieceModel:
             np.ascontiguousarray(table[:, 0]), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)
         )
         self.count = count
+        self.text_of = [str(i) for i in range(count)]
         self.character = np.full(0x110000, -1, np.int32)
         for p, i in self.ids.items():
             if len(p) == 1:
@@ -350,9 +351,6 @@ class PieceModel:
         return data.decode("utf-8", "each_byte")
 
 
-ENCODED = "ids array<int>, begins array<bigint>, ends array<bigint>"
-
-
 def encode_documents(
     documents: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text",
     rows_a_batch: int = 256,
@@ -362,52 +360,62 @@ def encode_documents(
     Null texts count as empty and give the end id alone. Ids may repeat or be null, rows are
     independent of each other; an empty table gives no rows. Only the two named columns are read.
     """
-    return _encoded(documents, model_path, id_col, text_col, rows_a_batch, digests=False)
+    return _encoded(documents, model_path, id_col, text_col, rows_a_batch, ("ids", "begins", "ends"))
 
 
 def encode_digests(
-    documents: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text",
+    documents: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", ids: bool = False,
+    rows_a_batch: int = 512,
 ) -> DataFrame:
-    """As ``encode_documents``, each list in short: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes.
+    """As ``encode_documents``, lists in short: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes.
 
-    The lists are hashed where they are made, so that they need not leave the task. ``n_bytes`` is
-    the end of the last span, the length of the source.
+    The lists are hashed where they are made, so that they need not leave the task; with ``ids`` the
+    ids come along. ``n_bytes`` is the end of the last span, the length of the source.
     """
-    return _encoded(documents, model_path, id_col, text_col, 512, digests=True)
+    names = ("n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", *(["ids"] if ids else []))
+    return _encoded(documents, model_path, id_col, text_col, rows_a_batch, names)
+
+
+def _digest(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
 
 
-def _encoded(documents, model_path, id_col, text_col, rows_a_batch, digests):
+#: What can be told of an encoded text: type, Arrow type, and how it is made of (model, ids, begins, ends).
+COLUMNS = {
+    "ids": ("array<int>", pa.list_(pa.int32()), lambda m, i, b, e: i),
+    "begins": ("array<bigint>", pa.list_(pa.int64()), lambda m, i, b, e: b),
+    "ends": ("array<bigint>", pa.list_(pa.int64()), lambda m, i, b, e: e),
+    "n_tokens": ("bigint", pa.int64(), lambda m, i, b, e: len(i)),
+    "ids_sha256": ("string", pa.string(), lambda m, i, b, e: _digest(" ".join(map(m.text_of.__getitem__, i)).encode())),
+    "decoded_sha256": ("string", pa.string(), lambda m, i, b, e: _digest(m.decode(i).encode("utf-8", "surrogatepass"))),
+    "n_bytes": ("bigint", pa.int64(), lambda m, i, b, e: e[-1] if e else 0),
+}
+
+
+def _encoded(
+    documents: DataFrame, model_path: str, id_col: str, text_col: str, rows_a_batch: int, names: tuple[str, ...]
+) -> DataFrame:
     with open(model_path, "rb") as file:  # on the driver; tasks get the bytes
         blob = documents.sparkSession.sparkContext.broadcast(file.read())
     id_type = documents.schema[id_col].dataType.simpleString()
-    rest = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint" if digests else ENCODED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel(blob.value)
-        text_of = [str(i) for i in range(len(model.bytes_of))]
+        makers = [COLUMNS[n] for n in names]
         for batch in batches:
             for at in range(0, batch.num_rows, rows_a_batch):
                 part = batch.slice(at, rows_a_batch)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                if digests:
-                    rows = []
-                    for ids, _, ends in model.encode_many(texts):
-                        rows.append((
-                            len(ids), hashlib.sha256(" ".join(map(text_of.__getitem__, ids)).encode()).hexdigest(),
-                            hashlib.sha256(model.decode(ids).encode("utf-8", "surrogatepass")).hexdigest(),
-                            ends[-1] if ends else 0,
-                        ))
-                    types = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-                else:
-                    rows = list(model.encode_many(texts))
-                    types = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                columns: list[list] = [[] for _ in makers]
+                for ids, begins, ends in model.encode_many([t or "" for t in part.column(1).to_pylist()]):
+                    for column, (_, _, make) in zip(columns, makers):
+                        column.append(make(model, ids, begins, ends))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*rows), types))],
-                    names=["doc_id", *(c.split()[0] for c in rest.split(", "))],
+                    [part.column(0), *(pa.array(c, kind) for c, (_, kind, _) in zip(columns, makers))],
+                    names=["doc_id", *names],
                 )
 
     narrow = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {id_type}, {rest}")
+    return narrow.mapInArrow(run, ", ".join([f"doc_id {id_type}", *(f"{n} {COLUMNS[n][0]}" for n in names)]))
 
 
 def decode_documents(
