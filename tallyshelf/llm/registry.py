@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, jaccard, language, mixing, neighbours, pieces, substring_dedup, suffix_dedup, toxicity
+from . import deleted, embedding_dedup, jaccard, language, mixing, neighbours, pieces, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of every text under the interpolated model, and under the add-one baseline."""
+    return deleted.scored(table(spark, folder, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors found for each vector whose id is divisible by 100."""
     return neighbours.nearest(table(spark, folder, "embeddings"), "vec_id % 100 = 0")
@@ -73,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_embedding_dedup": op3_embedding_dedup,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_ngram_jaccard": op7_ngram_jaccard,
