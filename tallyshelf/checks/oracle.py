@@ -138,9 +138,9 @@ points AS (
                      {rnd('avg_sold', 2)} AS avg_daily_sales, {rnd('demand', 2)} AS avg_weekly_sales,
                      {rnd('safety', 2)} AS safety_stock, {rnd('demand + safety')} AS reorder_point,
                      CASE WHEN inventory_level <= 0 THEN 'Out of Stock'
-                          WHEN inventory_level >= (demand + safety) * 1.2e0 THEN 'Adequate Stock'
-                          WHEN inventory_level >= demand + safety THEN 'Near Reorder Point'
-                          ELSE 'Below Reorder Point' END AS stock_status,
+                          WHEN inventory_level < demand + safety THEN 'Below Reorder Point'
+                          WHEN inventory_level < (demand + safety) * 1.2e0 THEN 'Near Reorder Point'
+                          ELSE 'Adequate Stock' END AS stock_status,
                      {rnd(over('inventory_level', 'avg_sold'), 1)} AS days_of_supply
               FROM points)
             WHERE {only}""",
@@ -170,9 +170,9 @@ points AS (
                    {rnd('standard')} AS standard_reorder_point, {rnd('factor', 8)} AS seasonal_factor,
                    {rnd('standard * factor')} AS seasonal_reorder_point, season_name AS current_season,
                    CASE WHEN inventory_level <= 0 THEN 'Out of Stock'
-                        WHEN inventory_level >= standard * factor * 1.2e0 THEN 'Adequate Stock'
-                        WHEN inventory_level >= standard * factor THEN 'Near Seasonal Reorder Point'
-                        ELSE 'Below Seasonal Reorder Point' END AS stock_status,
+                        WHEN inventory_level < standard * factor THEN 'Below Seasonal Reorder Point'
+                        WHEN inventory_level < standard * factor * 1.2e0 THEN 'Near Seasonal Reorder Point'
+                        ELSE 'Adequate Stock' END AS stock_status,
                    {rnd(over('inventory_level', 'avg_sold * factor'), 1)} AS days_of_supply
             FROM points""",
         LATEST, _stats(), factors,
@@ -183,10 +183,10 @@ def _monthly_turnover() -> str:
     return with_star(
         f"""SELECT YearMonth, store_id, region_name, product_id, category, sold AS Total_Units_Sold,
                    {rnd('level', 4)} AS Avg_Inventory_Level, {rnd('ratio', 2)} AS Inventory_Turnover_Ratio,
-                   CASE WHEN ratio IS NULL OR {rnd('ratio', 2)} <= 0 THEN 'No Sales'
-                        WHEN {rnd('ratio', 2)} <= 1 THEN 'Low Turnover'
-                        WHEN {rnd('ratio', 2)} <= 3 THEN 'Moderate Turnover'
-                        ELSE 'High Turnover' END AS Turnover_Category,
+                   CASE WHEN {rnd('ratio', 2)} > 3 THEN 'High Turnover'
+                        WHEN {rnd('ratio', 2)} > 1 THEN 'Moderate Turnover'
+                        WHEN {rnd('ratio', 2)} > 0 THEN 'Low Turnover'
+                        ELSE 'No Sales' END AS Turnover_Category,
                    {rnd(over('30', 'ratio'), 1)} AS Days_To_Sell_Inventory
             FROM (SELECT *, {over('sold', 'level')} AS ratio FROM months)""",
         f"""months AS (
@@ -199,8 +199,8 @@ def _monthly_turnover() -> str:
 def _stockout_risk() -> str:
     return with_star(
         f"""SELECT store_id, region_name, category, product_id, low_inventory_days, total_days, risk_ratio,
-                   CASE WHEN risk_ratio < 0.2e0 THEN 'Safe' WHEN risk_ratio < 0.4e0 THEN 'Low Risk'
-                        WHEN risk_ratio < 0.75e0 THEN 'Moderate Risk' ELSE 'High Risk' END AS risk_flag
+                   CASE WHEN risk_ratio >= 0.75e0 THEN 'High Risk' WHEN risk_ratio >= 0.4e0 THEN 'Moderate Risk'
+                        WHEN risk_ratio >= 0.2e0 THEN 'Low Risk' ELSE 'Safe' END AS risk_flag
             FROM (SELECT *, {rnd(over('low_inventory_days', 'total_days'), 2)} AS risk_ratio FROM counts)""",
         _stats(),
         f"""counts AS (
@@ -225,8 +225,8 @@ def _inventory_age() -> str:
              USING (store_id, product_id)""",
         """steps AS (
              SELECT *, LAG(inventory_level) OVER (
-                         PARTITION BY store_id, product_id ORDER BY snapshot_date, region_id) AS before
-             FROM snap)""",
+                         PARTITION BY store_id, product_id ORDER BY snapshot_date, region_name) AS before
+             FROM facts)""",
     )
 
 
@@ -235,8 +235,8 @@ def _stockout_rate() -> str:
         f"""SELECT region AS Store_Region, store_id AS Store_ID, category AS Product_Category,
                    product_id AS Product_ID, Stockout_Days, Total_Days,
                    {rnd('share * 100', 2)} AS Stockout_Rate_Percent,
-                   CASE WHEN share = 0 THEN 'No Stockouts' WHEN share < 0.1e0 THEN 'Low Risk'
-                        WHEN share < 0.3e0 THEN 'Moderate Risk' ELSE 'High Risk' END AS Risk_Category
+                   CASE WHEN share >= 0.3e0 THEN 'High Risk' WHEN share >= 0.1e0 THEN 'Moderate Risk'
+                        WHEN share > 0 THEN 'Low Risk' ELSE 'No Stockouts' END AS Risk_Category
             FROM (SELECT *, {over('Stockout_Days', 'Total_Days')} AS share FROM counts)""",
         """counts AS (
              SELECT region, store_id, category, product_id,
@@ -302,8 +302,8 @@ def _stock_adjustment() -> str:
     return with_star(
         f"""SELECT store_id, product_id, category, inventory_level AS current_stock,
                    {rnd('weekly', 4)} AS avg_weekly_sales, {rnd('point')} AS reorder_point,
-                   CASE WHEN inventory_level > 2 * point AND inventory_level >= point THEN 'Reduce Stock'
-                        WHEN inventory_level < point THEN 'Order More' ELSE 'Hold Steady' END
+                   CASE WHEN inventory_level < point THEN 'Order More'
+                        WHEN inventory_level > 2 * point THEN 'Reduce Stock' ELSE 'Hold Steady' END
                      AS adjustment_recommendation,
                    {rnd(over('inventory_level', 'weekly'), 1)} AS weeks_of_supply
             FROM last_rows
@@ -375,10 +375,9 @@ def _demand_trend() -> str:
         """SELECT store_id AS Store_ID, product_id AS Product_ID, CAST(m AS INT) AS Month,
                   up + down + flat AS Years_Tracked,
                   up AS Upward_Count, down AS Downward_Count, flat AS Stable_Count,
-                  CASE GREATEST(IF(up > down AND up > flat, 3, 0), IF(down > up AND down > flat, 2, 0),
-                                IF(flat > up AND flat > down, 1, 0))
-                    WHEN 3 THEN 'Mostly Upward' WHEN 2 THEN 'Mostly Downward'
-                    WHEN 1 THEN 'Mostly Stable' ELSE 'Mixed' END AS Avg_Trend
+                  CASE WHEN up > down AND up > flat THEN 'Mostly Upward'
+                       WHEN down > up AND down > flat THEN 'Mostly Downward'
+                       WHEN flat > up AND flat > down THEN 'Mostly Stable' ELSE 'Mixed' END AS Avg_Trend
            FROM (SELECT store_id, product_id, m, COUNT(*) FILTER (trend = 'Upward') AS up,
                         COUNT(*) FILTER (trend = 'Downward') AS down,
                         COUNT(*) FILTER (trend = 'Stable') AS flat
@@ -422,8 +421,8 @@ def _kpi_traffic_lights() -> str:
 BOARD = """
 statuses AS (
   SELECT store_id, region_name AS region, CASE WHEN inventory_level = 0 THEN 'Out of Stock'
-           WHEN inventory_level > 20 THEN 'Adequate Stock' WHEN inventory_level > 10 THEN 'Near Reorder'
-           ELSE 'Below Reorder' END AS stock_status
+           WHEN inventory_level <= 10 THEN 'Below Reorder' WHEN inventory_level <= 20 THEN 'Near Reorder'
+           ELSE 'Adequate Stock' END AS stock_status
   FROM facts WHERE snapshot_date = (SELECT MAX(snapshot_date) FROM snap)
 )"""
 BOARD_COLUMNS = ["Out of Stock", "Below Reorder", "Near Reorder", "Adequate Stock"]
@@ -445,8 +444,8 @@ def _issue_heatmap() -> str:
 WORST = """
 worst AS (
   SELECT product_id, store_id,
-         CAST(MIN(CASE WHEN inventory_level = 0 THEN 0 WHEN inventory_level >= units_ordered THEN 3
-                       WHEN inventory_level >= units_ordered / 2 THEN 2 ELSE 1 END) AS INT) AS Status_Code
+         CAST(MIN(CASE WHEN inventory_level = 0 THEN 0 WHEN inventory_level < units_ordered / 2 THEN 1
+                       WHEN inventory_level < units_ordered THEN 2 ELSE 3 END) AS INT) AS Status_Code
   FROM snap GROUP BY ALL
 )"""
 
@@ -518,6 +517,15 @@ def oracle_sql() -> dict[str, str]:
     direct = _sell_through_region("facts", "region_name")
     return {
         "raw_import": f"SELECT * FROM ({RAW})",
+        "raw_csv_round_trip": f"SELECT * FROM ({RAW})",
+        "load_rejects": f"""
+          SELECT 'unreadable value' AS reason, CAST(0 AS BIGINT) AS rows
+          UNION ALL
+          SELECT 'null key', COUNT(*) FILTER (Store_ID IS NULL OR Product_ID IS NULL OR Date IS NULL) FROM ({RAW})
+          UNION ALL
+          SELECT 'unknown region', COUNT(*) FILTER (
+            Store_ID IS NOT NULL AND Product_ID IS NOT NULL AND Date IS NOT NULL AND (Region IS NULL OR Region = ''))
+          FROM ({RAW})""",
         "dim_stores": table("stores"),
         "dim_regions": table("regions"),
         "bridge_store_regions": table("store_regions"),
@@ -532,6 +540,11 @@ def oracle_sql() -> dict[str, str]:
         "fact_snapshots": table("snap"),
         "price_history": table("prices"),
         "dims_incremental": _dims_incremental(),
+        "star_incremental": with_star(
+            """SELECT snapshot_date, store_id, region_name, product_id, inventory_level, units_sold, units_ordered,
+                      current_price, weather_condition, season_name, promotion_id
+               FROM facts LEFT JOIN weather_conditions USING (weather_id)"""
+        ),
         "integrity_violations": _integrity(),
         "current_stock": _current_stock(),
         "reorder_points": _reorder_points(),
@@ -564,6 +577,10 @@ def oracle_sql() -> dict[str, str]:
         "seasonal_demand": _seasonal_demand(),
         "product_store_status": with_star("SELECT * FROM worst", WORST),
         "product_store_matrix": _product_store_matrix(),
+        "product_store_map": with_star(
+            """SELECT product_id, STRING_AGG(store_id || '=' || Status_Code, ',' ORDER BY store_id) AS Status_By_Store
+               FROM worst GROUP BY product_id""", WORST
+        ),
         "status_counts": with_star(
             "SELECT store_id, region, stock_status, COUNT(*) AS product_count FROM statuses GROUP BY ALL", BOARD
         ),

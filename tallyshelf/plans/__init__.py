@@ -1,11 +1,11 @@
 from .boards import (
-    issue_heatmap, kpi_last, kpi_traffic_lights, last_months, monthly_kpis,
+    issue_heatmap, kpi_traffic_lights, last_months, monthly_kpis, product_store_map,
     product_store_matrix, product_store_status, status_counts, status_pivot,
 )
 from .load import (
-    Star, bridge_store_regions, build_dimensions, dim_products, dim_promotions, dim_regions,
+    Star, UnreadableError, append_star, bridge_store_regions, build_dimensions, dim_products, dim_promotions, dim_regions,
     dim_seasons, dim_stores, dim_weather, fact_snapshots, grow_dimensions, load_star, price_history,
-    read_star,
+    read_star, reject_counts, rejects,
 )
 from .risk import stockout_rate, stockout_risk, supplier_inconsistency
 from .stock import (
@@ -19,13 +19,13 @@ from .turnover import (
 )
 
 __all__ = [
-    "Star", "average_stock_level", "bridge_store_regions", "build_dimensions",
+    "Star", "UnreadableError", "append_star", "average_stock_level", "bridge_store_regions", "build_dimensions",
     "clean_region_month", "current_stock", "dead_stock", "demand_trend", "dim_products",
     "dim_promotions", "dim_regions", "dim_seasons", "dim_stores", "dim_weather", "fact_snapshots",
-    "grow_dimensions", "inventory_age", "issue_heatmap", "kpi_last",
+    "grow_dimensions", "inventory_age", "issue_heatmap",
     "kpi_traffic_lights", "last_months", "load_star", "low_stock_alerts", "monthly_kpis", "monthly_trend",
-    "monthly_turnover", "price_history", "product_store_matrix", "product_store_status",
-    "read_star", "reorder_points", "seasonal_demand", "seasonal_reorder_points",
+    "monthly_turnover", "price_history", "product_store_map",
+    "product_store_matrix", "product_store_status", "read_star", "reject_counts", "rejects", "reorder_points", "seasonal_demand", "seasonal_reorder_points",
     "sell_through_region_month", "sell_through_store_month", "status_counts", "status_pivot",
     "stock_adjustment", "stockout_rate", "stockout_risk", "supplier_inconsistency",
 ]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import BOARD_BELOW, BOARD_NEAR, BOARD_STATUS, KPI_BOUNDS, LIGHTS
 from ..functions import label_ladder, mean_of, month_index, month_label, quotient, rnd
 from ..operators import pivot_fixed, with_region_name
+from .load import MONTH
 from .risk import last_day, since
 from .turnover import sell_through
 
@@ -55,23 +56,16 @@ def kpi_traffic_lights(
     )
 
 
-def kpi_last(kpis: DataFrame, n: int = 3) -> DataFrame:
-    """KPIs of the last ``n`` months that occur anywhere; those ``n`` values are broadcast."""
-    newest = kpis.select("month").distinct().orderBy(F.desc("month")).limit(n)
-    return kpis.join(F.broadcast(newest), "month", "left_semi").select(*kpis.columns).orderBy(
-        "store_id", "month"
-    )
-
-
-def last_months(snap: DataFrame, n: int = 3) -> DataFrame:
-    """Snapshots of the last ``n`` months that occur; a loaded fact opens only their folders.
+def last_months(snap: DataFrame, n: int = 3, month_table: DataFrame | None = None) -> DataFrame:
+    """Snapshots of the last ``n`` months that occur.
 
-    ``monthly_kpis`` over these equals ``kpi_last`` over all KPIs, without aggregating the rest.
+    With the month table of a load, only the folders of those months are opened.
     """
-    newest = (
-        snap.select(F.trunc("snapshot_date", "MM").alias("month")).distinct()
-        .orderBy(F.desc("month")).limit(n)
-    )
+    if month_table is None:
+        seen = snap.select(F.trunc("snapshot_date", "MM").alias("month")).distinct()
+    else:
+        seen = month_table.select(F.col(MONTH).alias("month"))
+    newest = seen.orderBy(F.desc("month")).limit(n)
     return since(snap, newest.agg(F.min("month")).scalar())
 
 
@@ -83,12 +77,19 @@ def product_store_status(snap: DataFrame) -> DataFrame:
 
 
 def product_store_matrix(status: DataFrame, stores: Sequence[str]) -> DataFrame:
-    """``product_store_status`` with one column per store."""
+    """``product_store_status`` with a column for each of ``stores``, which the caller names."""
     return pivot_fixed(status, ["product_id"], "store_id", stores, "Status_Code").orderBy("product_id")
 
 
+def product_store_map(status: DataFrame) -> DataFrame:
+    """``product_store_status`` as one map per product, store to code, for any number of stores."""
+    cells = F.sort_array(F.collect_list(F.struct("store_id", "Status_Code")))
+    return status.groupBy("product_id").agg(F.map_from_entries(cells).alias("Status_By_Store"))
+
+
 def status_counts(
     snap: DataFrame, dims: Dims, *, below: int = BOARD_BELOW, near: int = BOARD_NEAR,
+    month_table: DataFrame | None = None,
 ) -> DataFrame:
     """Products per status, store and region on the newest day."""
     out, low, close, fine = BOARD_STATUS
@@ -96,7 +97,7 @@ def status_counts(
         F.col("inventory_level"), [("=", 0, out), ("<=", below, low), ("<=", near, close)], fine
     )
     counts = (
-        since(snap, last_day(snap))
+        since(snap, last_day(snap, month_table))
         .groupBy("store_id", "region_id", status.alias("stock_status"))
         .agg(F.count("product_id").alias("product_count"))
     )

@@ -87,8 +87,13 @@ def stockout_rate(
     )
 
 
-def last_day(snap: DataFrame) -> Column:
-    """Newest snapshot date as a scalar subquery, so nothing is collected or joined."""
+def last_day(snap: DataFrame, months: DataFrame | None = None) -> Column:
+    """Newest snapshot date as a scalar subquery, so nothing is collected or joined.
+
+    With the month table of a load it is read from there, else from all days of ``snap``.
+    """
+    if months is not None:
+        return months.agg(F.max("last_day")).scalar()
     return snap.agg(F.max("snapshot_date")).scalar()
 
 
@@ -101,9 +106,10 @@ def since(snap: DataFrame, start: Column) -> DataFrame:
 def supplier_inconsistency(
     snap: DataFrame, dims: Dims, *, months: int = INCONSISTENCY_MONTHS, low_stock: int = LOW_STOCK,
     bounds: tuple[float, float, float] = INCONSISTENCY_BOUNDS, region_via: str = "store_regions",
+    month_table: DataFrame | None = None,
 ) -> DataFrame:
     """Recent low stock and the spread of orders and sales; flagged on the rounded figures."""
-    recent = since(snap, F.add_months(last_day(snap), -months))
+    recent = since(snap, F.add_months(last_day(snap, month_table), -months))
     totals = recent.groupBy("store_id", "product_id", *region_keys(region_via)).agg(
         F.count(F.lit(1)).alias("days_tracked"),
         F.count_if(F.col("inventory_level") <= low_stock).alias("low_stock_days"),

@@ -13,7 +13,7 @@ from ..constants import (
     SAFETY_Z, SEASONAL_STATUS,
 )
 from ..functions import (
-    label_ladder, mean_of, moment_sums, month_index, month_label, pop_sd, quotient, rnd,
+    label_ladder, mean_of, moment_names, moment_sums, month_index, month_label, pop_sd, quotient, rnd,
     week_of_year,
 )
 from ..operators import latest_by, latest_with_ties, series_stats, with_region_name
@@ -98,24 +98,35 @@ def low_stock_alerts(reorder: DataFrame) -> DataFrame:
     return reorder.filter(F.col("stock_status").isin(REORDER_STATUS[:2]))
 
 
-def seasonal_factors(snap: DataFrame) -> DataFrame:
-    """Average sales of a season over the all-year average, per product and region.
+def seasonal_stats(snap: DataFrame) -> DataFrame:
+    """Latest stock and season of every series, its sales statistics, and the factor of that season.
 
-    One aggregation at season grain; the all-year average is rolled up from it, days without a
-    season included.
+    The factor is a season's average sales over the all-year average, per product and region, days
+    without a season included in the year. The fact is read once and reduced to a row per series and
+    season; both averages are window sums over those rows, which then merge to their series.
     """
-    seasons = snap.groupBy("product_id", "region_id", "season_id").agg(
-        F.sum("units_sold").alias("sold"), F.count("units_sold").alias("days")
+    cells = snap.groupBy(*SERIES, "season_id").agg(
+        F.max("snapshot_date").alias("last"),
+        F.max_by("inventory_level", "snapshot_date").alias("level"),
+        *moment_sums(F.col("units_sold"), "sold"),
     )
     year = Window.partitionBy("product_id", "region_id")
-    overall = quotient(F.sum("sold").over(year), F.sum("days").over(year))
-    return (
-        seasons.withColumn("overall", overall)
-        .filter(F.col("season_id").isNotNull())
-        .select(
-            "product_id", "region_id", "season_id",
-            quotient(quotient(F.col("sold"), F.col("days")), F.col("overall")).alias("factor"),
-        )
+    season = Window.partitionBy("product_id", "region_id", "season_id")
+
+    def average(window) -> Column:
+        return quotient(F.sum("sold_sum").over(window), F.sum("sold_n").over(window))
+
+    factor = F.when(F.col("season_id").isNotNull(), quotient(F.col("season_mean"), F.col("year_mean")))
+    cells = cells.withColumn("year_mean", average(year)).withColumn("season_mean", average(season))
+    merged = cells.withColumn("factor", factor).groupBy(*SERIES).agg(
+        F.max_by("level", "last").alias("current_stock"),
+        F.max_by("season_id", "last").alias("season_id"),
+        F.max_by("factor", "last").alias("factor"),
+        *[F.sum(c).alias(c) for c in moment_names("sold")],
+    )
+    return merged.select(
+        *SERIES, "current_stock", "season_id", "factor",
+        mean_of("sold").alias("avg_sold"), pop_sd("sold").alias("sd_sold"),
     )
 
 
@@ -124,10 +135,7 @@ def seasonal_reorder_points(
     near: float = NEAR_FACTOR, horizon: str = "linear",
 ) -> DataFrame:
     """Reorder points scaled by the factor of the season the latest row is in; 1 without season."""
-    stats = series_stats(snap, {"current_stock": "inventory_level", "season_id": "season_id"})
-    rows = stats.join(seasonal_factors(snap), ["product_id", "region_id", "season_id"], "left").join(
-        dims["seasonality"], "season_id", "left"
-    )
+    rows = seasonal_stats(snap).join(dims["seasonality"], "season_id", "left")
     avg, demand = F.col("avg_sold"), F.col("avg_sold") * lead_days
     safety = F.lit(z) * (F.col("sd_sold") * safety_days(lead_days, horizon))
     rows = (

@@ -122,13 +122,17 @@ def sell_through_store_month(
     )
 
 
-def inventory_age(snap: DataFrame, *, growth: tuple[int, int] = GROWTH) -> DataFrame:
+def inventory_age(
+    snap: DataFrame, dims: Dims | None = None, *, growth: tuple[int, int] = GROWTH
+) -> DataFrame:
     """Days between the last replenishment and the last day of a store's product.
 
-    A level is compared with the row before in (snapshot_date, region_id) order, which fixes the
-    order among regions of one day. Products never replenished are left out.
+    A level is compared with the row before, regions of one day in order of their name, whatever ids
+    the loads gave them; without ``dims`` in order of the id. Products never replenished are left out.
     """
-    rows = replenishments(snap, ["store_id", "product_id"], "region_id", growth)
+    tie = "region_id" if dims is None else "region_name"
+    rows = snap if dims is None else snap.join(dims["regions"], "region_id")
+    rows = replenishments(rows, ["store_id", "product_id"], tie, growth)
     age = F.datediff("latest_date", "last_replenishment")
     return (
         rows.filter(F.col("last_replenishment").isNotNull())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from . import plans as P
 from .operators import integrity_report, pivot_values
 from .plans.load import Star
+from .sources.raw_csv import NULL_TOKEN, read_raw_csv
+from .sources.tables import new_path, stamp
 from .sources.tpch import raw_from_orders, table_paths
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +21,7 @@ _stars: dict[tuple, Star] = {}
 
 def star_of(spark: SparkSession, folder: str) -> Star:
     """The star loaded from ``folder``, once per application and state of its files."""
-    stamp = tuple(
-        (s.st_size, s.st_mtime_ns) for s in (os.stat(p) for p in table_paths(folder) if os.path.exists(p))
-    )
-    key = (spark.sparkContext.applicationId, folder, stamp)
+    key = (spark.sparkContext.applicationId, folder, stamp(spark, table_paths(folder)))
     if key not in _stars:
         _stars[key] = P.load_star(spark, raw_from_orders(spark, folder))
     return _stars[key]
@@ -66,13 +64,55 @@ def snapshot_promotions(star: Star) -> DataFrame:
     )
 
 
+def star_incremental(raw: DataFrame) -> DataFrame:
+    """Snapshots with their names after loading the first half of the days and appending the rest."""
+    spark = raw.sparkSession
+    span = raw.agg(F.expr("date_add(min(Date), cast(floor(datediff(max(Date), min(Date)) / 2) AS int))"))
+    middle, path = span.scalar(), new_path(spark, "grown")
+    P.load_star(spark, raw.filter(F.col("Date") <= middle), path)
+    star = P.append_star(spark, path, raw.filter(F.col("Date") > middle))
+    return (
+        star.snap.join(star.dims["regions"], "region_id")
+        .join(star.dims["weather_conditions"], "weather_id", "left")
+        .join(star.dims["seasonality"], "season_id", "left")
+        .select(
+            "snapshot_date", "store_id", "region_name", "product_id", "inventory_level", "units_sold", "units_ordered",
+            "current_price", "weather_condition", "season_name", "promotion_id",
+        )
+    )
+
+
+def raw_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw rows written as CSV to the shared folder and read back."""
+    path = new_path(spark, "csv")
+    rows = raw_from_orders(spark, folder)
+    rows.write.options(header=True, nullValue=NULL_TOKEN, emptyValue="").csv(path)
+    return read_raw_csv(spark, path).select(*rows.columns)
+
+
+def product_store_cells(star: Star) -> DataFrame:
+    """The store map of each product as text, stores in order."""
+    cells = F.transform(
+        F.map_entries("Status_By_Store"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
+    )
+    return P.product_store_map(P.product_store_status(star.snap)).select(
+        "product_id", F.concat_ws(",", cells).alias("Status_By_Store")
+    )
+
+
 def _store_ids(star: Star) -> list[str]:
     return pivot_values(star.dims["stores"], "store_id")
 
 
+def _status_counts(star: Star) -> DataFrame:
+    return P.status_counts(star.snap, star.dims, month_table=star.months)
+
+
 def queries() -> dict[str, Query]:
     return {
         "raw_import": raw_from_orders,
+        "raw_csv_round_trip": raw_csv_round_trip,
+        "load_rejects": _report(lambda s: P.reject_counts(s.raw)),
         "dim_stores": _report(lambda s: P.dim_stores(s.raw)),
         "dim_regions": _report(lambda s: P.dim_regions(s.raw)),
         "bridge_store_regions": _report(lambda s: P.bridge_store_regions(s.raw, s.dims["regions"])),
@@ -83,6 +123,7 @@ def queries() -> dict[str, Query]:
         "fact_snapshots": _report(lambda s: P.fact_snapshots(s.raw, s.dims)),
         "price_history": _report(lambda s: P.price_history(s.raw, s.dims["regions"])),
         "dims_incremental": _report(lambda s: dims_incremental(s.raw)),
+        "star_incremental": _report(lambda s: star_incremental(s.raw)),
         "integrity_violations": _report(lambda s: integrity_report(s.tables())),
         "current_stock": _report(lambda s: P.current_stock(s.snap, s.dims)),
         "reorder_points": _report(lambda s: P.reorder_points(s.snap, s.dims)),
@@ -90,7 +131,7 @@ def queries() -> dict[str, Query]:
         "seasonal_reorder_points": _report(lambda s: P.seasonal_reorder_points(s.snap, s.dims)),
         "monthly_turnover": _report(lambda s: P.monthly_turnover(s.snap, s.dims)),
         "stockout_risk": _report(lambda s: P.stockout_risk(s.snap, s.dims)),
-        "inventory_age": _report(lambda s: P.inventory_age(s.snap)),
+        "inventory_age": _report(lambda s: P.inventory_age(s.snap, s.dims)),
         "stockout_rate": _report(lambda s: P.stockout_rate(s.snap, s.dims)),
         "sell_through_region_month": _report(lambda s: P.sell_through_region_month(s.snap, s.dims)),
         "sell_through_region_direct": _report(
@@ -105,20 +146,21 @@ def queries() -> dict[str, Query]:
         "average_stock_level": _report(lambda s: P.average_stock_level(s.snap, s.dims)),
         "dead_stock": _report(lambda s: P.dead_stock(s.snap)),
         "stock_adjustment": _report(lambda s: P.stock_adjustment(s.snap, s.dims)),
-        "supplier_inconsistency": _report(lambda s: P.supplier_inconsistency(s.snap, s.dims)),
+        "supplier_inconsistency": _report(lambda s: P.supplier_inconsistency(s.snap, s.dims, month_table=s.months)),
         "monthly_trend": _report(lambda s: P.monthly_trend(s.snap)),
         "demand_trend": _report(lambda s: P.demand_trend(s.snap)),
         "monthly_kpis": _report(lambda s: P.monthly_kpis(s.snap)),
         "kpi_traffic_lights": _report(lambda s: P.kpi_traffic_lights(P.monthly_kpis(s.snap))),
-        "kpi_last3": _report(lambda s: P.monthly_kpis(P.last_months(s.snap, 3))),
+        "kpi_last3": _report(lambda s: P.monthly_kpis(P.last_months(s.snap, 3, s.months))),
         "seasonal_demand": _report(lambda s: P.seasonal_demand(s.snap, s.dims)),
         "product_store_status": _report(lambda s: P.product_store_status(s.snap)),
         "product_store_matrix": _report(
             lambda s: P.product_store_matrix(P.product_store_status(s.snap), _store_ids(s))
         ),
-        "status_counts": _report(lambda s: P.status_counts(s.snap, s.dims)),
-        "status_pivot": _report(lambda s: P.status_pivot(P.status_counts(s.snap, s.dims))),
+        "product_store_map": _report(product_store_cells),
+        "status_counts": _report(_status_counts),
+        "status_pivot": _report(lambda s: P.status_pivot(_status_counts(s))),
         "issue_heatmap": _report(
-            lambda s: P.issue_heatmap(P.status_pivot(P.status_counts(s.snap, s.dims)), _store_ids(s))
+            lambda s: P.issue_heatmap(P.status_pivot(_status_counts(s)), _store_ids(s))
         ),
     }

@@ -33,7 +33,7 @@ def read_raw_csv(spark: SparkSession, path: str | list[str], *, multi_line: bool
 
 
 def typed(lines: DataFrame) -> DataFrame:
-    """Cast the text columns of raw lines; shared by the batch and the streaming reader."""
+    """Cast the text columns of raw lines."""
     values = [_typed(f) for f in RAW]
     misfit = F.lit(False)
     for field, value in zip(RAW, values):

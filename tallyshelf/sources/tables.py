@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Where intermediate tables go: ``spark.checkpoint.dir``, else the checkpoint folder set.
-
-    Only a local session, where one machine is the cluster, may fall back to a temporary folder.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
+    """Where intermediate tables go: ``spark.checkpoint.dir``, else the checkpoint folder set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    if context.applicationId not in _own_folder:
-        _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="tallyshelf-")
-    return _own_folder[context.applicationId]
+    return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -50,3 +38,29 @@ def write_table(
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a table's files; nothing happens if there are none."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def has_path(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def stamp(spark: SparkSession, paths: Sequence[str]) -> tuple:
+    """Size and time of each table, through the file system that Spark reads it by."""
+    found = []
+    for path in paths:
+        files, place = _file_system(spark, path)
+        status = files.getFileStatus(place)
+        found.append((files.getContentSummary(place).getLength(), status.getModificationTime()))
+    return tuple(found)

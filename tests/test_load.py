@@ -141,9 +141,54 @@ def test_dirty_star_is_reported_and_refused(star_of):
         assert_integrity(tables)
 
 
-def test_load_refuses_duplicate_snapshots(spark, raw_of):
+def test_refused_load_publishes_nothing_and_can_be_repeated(spark, raw_of):
+    path = new_path(spark, "refused")
+    good = raw_of([{}])
+    P.load_star(spark, good, path)
     with pytest.raises(IntegrityError):
-        P.load_star(spark, raw_of([{}, {}]))
+        P.load_star(spark, raw_of([{}, {}]), path)
+    assert P.read_star(spark, path).snap.count() == 1
+    star = P.load_star(spark, raw_of([{}, {"Product_ID": "P2"}]), path)
+    assert P.read_star(spark, path).snap.count() == 2
+    star.drop_stage()
+    assert P.read_star(spark, path).snap.count() == 2
+
+
+def test_more_days_are_appended_to_a_star(spark, raw_of):
+    path = new_path(spark, "more")
+    P.load_star(spark, raw_of([{"Region": "North"}, {"Region": "West"}]), path)
+    more = raw_of([{"Date": day("2000-02-01"), "Region": r} for r in ("East", "West")])
+    P.append_star(spark, path, more)
+    star = P.read_star(spark, path)
+    assert star.snap.count() == 4 and star.prices.count() == 4
+    assert {r["region_name"]: r["region_id"] for r in rows(star.dims["regions"])} == {"North": 1, "West": 2, "East": 3}
+    assert sum(m["rows"] for m in rows(star.months)) == 4
+    with pytest.raises(IntegrityError):
+        P.append_star(spark, path, raw_of([{"Region": "West"}]))
+    assert bag(P.read_star(spark, path).snap) == bag(star.snap)
+    whole = P.load_star(spark, raw_of([{"Region": "North"}, {"Region": "West"}]).unionByName(more))
+    assert whole.snap.count() == 4 and bag(whole.prices.select("effective_date", "price")) == bag(
+        star.prices.select("effective_date", "price"))
+
+
+def test_rows_that_give_no_snapshot_are_kept_with_the_reason(spark, tmp_path):
+    good = "2022-01-01,S001,P0001,Toys,North,1,2,3,1.00,2.00,3,Rainy,0,4.00,Winter"
+    bad = [good.replace("2022-01-01", "01/02/2022"), good.replace("North", ""), good.replace("P0001", "\\N")]
+    raw = read_raw_csv(spark, csv(tmp_path, good, *bad))
+    with pytest.raises(P.UnreadableError):
+        P.load_star(spark, raw)
+    star = P.load_star(spark, raw, unreadable="set_aside")
+    assert star.snap.count() == 1
+    assert sorted(r["reason"] for r in rows(star.rejects)) == ["null key", "unknown region", "unreadable value"]
+    assert {r["line"] for r in rows(star.rejects.filter("reason = 'unreadable value'"))} == {bad[0]}
+    counts = {r["reason"]: r["rows"] for r in rows(P.reject_counts(raw))}
+    assert counts == {"unreadable value": 1, "null key": 1, "unknown region": 1}
+
+
+def test_month_table_has_every_month(star):
+    months = rows(star.months)
+    assert sum(m["rows"] for m in months) == star.snap.count()
+    assert max(m["last_day"] for m in months) == star.snap.agg(F.max("snapshot_date")).first()[0]
 
 
 def test_loaded_star_can_be_reopened(spark, raw_of):
