@@ -14,7 +14,7 @@ from ..constants import HOLIDAY_FLAG, PROMOTIONS
 from ..operators import assert_integrity, insert_if_absent, numbered
 from ..sources.raw_csv import CORRUPT
 from ..schema import DIMENSIONS, RAW, STAR
-from ..sources.tables import cut_lineage, drop_path, has_path, new_path, read_table, write_table
+from ..sources.tables import cut_lineage, drop_path, has_path, intermediates, new_path, read_table, write_table
 
 
 def _named(column: str):
@@ -273,7 +273,8 @@ def load_star(
     path = path or new_path(spark, "star")
     version = f"{path}/{uuid.uuid4().hex}"
     try:
-        star = _write_star(spark, raw, version, unreadable)
+        with intermediates(spark):
+            star = _write_star(spark, raw, version, unreadable)
         assert_integrity(star.tables())
     except Exception:
         drop_path(spark, version)
@@ -303,7 +304,8 @@ def append_star(spark: SparkSession, path: str, raw: DataFrame, *, unreadable: s
     version = f"{path}/{uuid.uuid4().hex}"
     try:
         stage = _stage(spark, raw, version, unreadable)
-        dims = _write_dimensions(spark, grow_dimensions(old.dims, stage), version)
+        with intermediates(spark):
+            dims = _write_dimensions(spark, grow_dimensions(old.dims, stage), version)
         write_snapshots(fact_snapshots(stage, dims), f"{version}/inventory_snapshots")
         new = _read(spark, version, "inventory_snapshots")
         span = new.agg(F.min("snapshot_date").alias("low"), F.max("snapshot_date").alias("high")).first()

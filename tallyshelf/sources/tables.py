@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,11 +21,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tallyshelf/{application}/{name}-{uuid.uuid4().hex}"
 
 
+_watched: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``cut_lineage`` writes inside, when what was made of them is written."""
+    paths: list[str] = []
+    _watched.append(paths)
+    try:
+        yield
+    finally:
+        _watched.remove(paths)
+        for path in paths:
+            drop_path(spark, path)
+
+
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: survives executors, has a known size."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if _watched:
+        _watched[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

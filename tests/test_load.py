@@ -1,3 +1,5 @@
+import pathlib
+
 import pytest
 from conftest import bag, day, rows
 from decimal import Decimal
@@ -154,6 +156,17 @@ def test_refused_load_publishes_nothing_and_can_be_repeated(spark, raw_of):
     assert P.read_star(spark, path).snap.count() == 2
 
 
+def test_a_load_leaves_only_its_tables(spark, raw_of):
+    path = new_path(spark, "clean")
+    folder = pathlib.Path(path.removeprefix("file:").removeprefix("//")).parent
+    folder.mkdir(parents=True, exist_ok=True)
+    before = {p.name for p in folder.iterdir()}
+    star = P.load_star(spark, raw_of([{}]), path, keep_stage=False)
+    P.append_star(spark, path, raw_of([{"Date": day("2000-03-01"), "Region": "South"}]))
+    assert {p.name for p in folder.iterdir()} - before == {pathlib.Path(path).name}
+    assert star.snap.count() == 1 and P.read_star(spark, path).snap.count() == 2
+
+
 def test_more_days_are_appended_to_a_star(spark, raw_of):
     path = new_path(spark, "more")
     P.load_star(spark, raw_of([{"Region": "North"}, {"Region": "West"}]), path)
