@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 
 FAN, LEAF = 8, 16
-#: Elements a group holds, about, and the bounds of the number of groups.
-PER_GROUP, LEAST, MOST = 4, 16, 4096
+#: The least number of groups.
+LEAST = 16
 
 
 def groups_for(size: int) -> int:
-    """Groups for a set of ``size`` elements: a power of two."""
-    return int(min(MOST, max(LEAST, 1 << max(0, (max(size, 1) // PER_GROUP).bit_length()))))
+    """Groups for a set of ``size`` elements: the power of two above, so that few elements share one."""
+    return max(LEAST, 1 << int(size).bit_length())
 
 
 def count_vector(hashes: np.ndarray, groups: int) -> np.ndarray:
@@ -19,6 +19,33 @@ def count_vector(hashes: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
+def packed(vector: np.ndarray) -> bytes:
+    return vector.astype(np.uint8 if vector.max(initial=0) < 256 else np.int32).tobytes()
+
+
+def unpacked(blob: bytes, size: int) -> np.ndarray:
+    """The vector of a set of ``size`` elements."""
+    kind = np.uint8 if len(blob) == groups_for(size) else np.int32
+    return np.frombuffer(blob, kind).astype(np.int32)
+
+
+def pair_bounds(vectors: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The most that the sets of each pair can overlap, as far as their counts tell."""
+    out = np.empty(len(left), np.int64)
+    groups = np.array([len(v) for v in vectors])
+    fewer = np.minimum(groups[left], groups[right])
+    for g in np.unique(fewer):
+        rows = np.flatnonzero(fewer == g)
+        own, place = np.unique(np.concatenate([left[rows], right[rows]]), return_inverse=True)
+        points = np.stack([folded(vectors[k], int(g)) for k in own.tolist()])
+        a, b = place[:len(rows)], place[len(rows):]
+        step = max(1, (1 << 21) // int(g))
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            out[rows[part]] = np.minimum(points[a[part]], points[b[part]]).sum(1)
+    return out
+
+
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
     return vector.reshape(-1, groups).sum(0, dtype=np.int32)
 

@@ -24,12 +24,14 @@ from .chunks import (
     write_chunks,
 )
 from .components import component_roots
-from .count_tree import candidates, count_vector, groups_for
+from .count_tree import candidates, count_vector, groups_for, needed, packed, pair_bounds, unpacked
 from .words import LOWER, word_borders, word_hashes
 
 SHINGLE, PERCENT = 5, 75
-#: Rounds of blocks by a smallest hash, and sets of a block.
-ROUNDS, BLOCK = 2, 512
+#: Rounds of blocks by a smallest hash, sets of a block, and sets of a unit that needs no tree.
+ROUNDS, BLOCK, SMALL = 2, 512, 48
+#: Rows of prefix hashes that one task looks at together.
+TASK_ROWS = 8192
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,6 +148,44 @@ def _blocks(sets: DataFrame, percent: int) -> DataFrame:
     return full.groupBy("slot", "part").applyInArrow(link, "a bigint, b bigint")
 
 
+def unit_pairs(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Pairs of nodes of different components that share a unit and whose bound allows a link, once each.
+
+    A unit is a hash with two parts of the sets that have it; the rows hold several units.
+    """
+    token, i, j, part, node, root, size = (
+        np.array(table.column(c)) for c in ("token", "i", "j", "part", "node", "root", "size")
+    )
+    names, first, row = np.unique(node, return_index=True, return_inverse=True)
+    blobs = table.column("counts")
+    vectors = [unpacked(blobs[k].as_py(), int(size[k])) for k in first.tolist()]
+    size, root = size[first], root[first]
+    order = np.lexsort((j, i, token))
+    edge = np.flatnonzero(
+        (np.diff(token[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
+    ) + 1
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for rows in np.split(order, edge):
+        own, at = row[rows], part[rows]
+        if len(own) <= SMALL:
+            a, b = np.triu_indices(len(own), 1)
+        else:
+            pairs = [(k, f) for k, found in candidates([vectors[r] for r in own.tolist()], size[own], percent)
+                     for f in found[found > k].tolist()]
+            a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        if i[rows[0]] != j[rows[0]]:
+            cross = at[a] != at[b]
+            a, b = a[cross], b[cross]
+        left.append(np.minimum(own[a], own[b]))
+        right.append(np.maximum(own[a], own[b]))
+    left, right = np.divmod(np.unique(np.concatenate(left) * len(names) + np.concatenate(right)), len(names))
+    low, high = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
+    may = (root[left] != root[right]) & (100 * low >= percent * high)
+    left, right = left[may], right[may]
+    may = pair_bounds(vectors, left, right) >= needed(size[left], size[right], percent)
+    return list(zip(names[left[may]].tolist(), names[right[may]].tolist()))
+
+
 def _across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Links between sets that share a hash of their prefix but are in different components."""
     known = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -167,39 +207,36 @@ def _across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         F.count(F.lit(1)).alias("many"), F.min("root").alias("low"), F.max("root").alias("high")
     ).filter("low < high")
     parts = F.ceil(F.col("many") / BLOCK).cast("int")
-    spread = tokens.join(mixed_tokens.select("token", "many"), "token").select(
-        "token", "node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")
+    spread = tokens.join(mixed_tokens, "token").select(
+        "token", "node", "root", "low", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")
     )
     # every two parts of a large group meet once
     units = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root"
+        "token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root", "low"
+    )
+    # hashes with the same smallest component mostly hold the same pairs, so they go to one task; a
+    # component that comes with very many of them to several
+    shares = mixed_tokens.groupBy("low").agg(
+        F.ceil(F.sum(F.col("many") * F.ceil(F.col("many") / BLOCK)) / TASK_ROWS).alias("shares")
     )
+    units = units.join(shares, "low").withColumn("share", F.pmod(F.xxhash64("token", "i", "j"), "shares"))
 
     def vectors(batches):
         for batch in batches:
             sets = [_array(b) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([count_vector(s, groups_for(len(s))).astype(np.uint16).tobytes() for s in sets], pa.binary())],
+                 pa.array([packed(count_vector(s, groups_for(len(s)))) for s in sets], pa.binary())],
                 names=["node", "size", "counts"],
             )
 
     points = sets.select("node", "shingles").mapInArrow(vectors, "node bigint, size bigint, counts binary")
-    met = units.join(points, "node").select("token", "i", "j", "part", "node", "root", "size", "counts")
+    met = units.join(points, "node").select("low", "share", "token", "i", "j", "part", "node", "root", "size", "counts")
 
     def near(table: pa.Table) -> pa.Table:
-        node, root, part = (np.array(table.column(c)) for c in ("node", "root", "part"))
-        cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        counts = [np.frombuffer(b, np.uint16).astype(np.int32) for b in table.column("counts").to_pylist()]
-        pairs = []
-        for k, found in candidates(counts, np.array(table.column("size")), percent):
-            found = found[(found < k) & (root[found] != root[k])]
-            if cross:
-                found = found[part[found] != part[k]]
-            pairs += [(min(int(node[k]), f), max(int(node[k]), f)) for f in node[found].tolist()]
-        return _edges(pairs)
-
-    pairs = met.groupBy("token", "i", "j").applyInArrow(near, "a bigint, b bigint").distinct()
+        return _edges(unit_pairs(table, percent))
+
+    pairs = met.groupBy("low", "share").applyInArrow(near, "a bigint, b bigint").distinct()
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
