@@ -31,7 +31,7 @@ SHINGLE, PERCENT = 5, 75
 #: Rounds of blocks by a smallest hash, sets of a block, and sets of a unit that needs no tree.
 ROUNDS, BLOCK, SMALL = 2, 512, 48
 #: Rows of prefix hashes that one task looks at together.
-TASK_ROWS = 8192
+TASK_ROWS = 32_768
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
