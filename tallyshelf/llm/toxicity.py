@@ -25,9 +25,9 @@ from .words import word_hashes
 SPAN, DECAY, POWER = 5, 0.7, 3
 #: Longer words are cut into pieces that overlap by half.
 PIECE = 32
-#: Landmarks; bytes of a stem; standard errors between the shares of texts that the classes have a
-#: landmark in; how much of the difference a longer stem has to keep.
-LANDMARKS, STEM, ERRORS, KEPT_SHARE = 64, (4, 8), 8, 0.9
+#: Landmarks, and those taken even if none is significant; bytes of a stem; standard errors between the
+#: shares of texts that the classes have a landmark in; how much of the difference a longer stem has to keep.
+LANDMARKS, LEAST, STEM, ERRORS, KEPT_SHARE = 64, 16, (4, 8), 2.5, 0.9
 #: Training rows of each class; passes and strength of regularisation of the machine.
 SAMPLE_ROWS, STEPS, REGULAR = 1500, 800, 1e-4
 FRONT, BACK = 1, 2  # marks around a word
@@ -160,22 +160,27 @@ def _landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
     def longest(w: bytes) -> bytes:
         """The longest word or stem that goes on from ``w`` and tells nearly as much."""
         stem = w.rstrip(b"*")
+        if len(stem) < STEM[0]:
+            return w
         alike = [
             v for v in by_stem[w[:STEM[0]]]
             if v.startswith(stem) and abs(contrast[v]) >= KEPT_SHARE * abs(contrast[w]) and contrast[v] * contrast[w] > 0
         ]
         return max([w, *alike], key=lambda v: (len(v.rstrip(b"*")), not v.endswith(b"*"), v))
 
+    def same(w: bytes, v: bytes) -> bool:
+        """A longer or shorter stem says the same; words too short for a stem only stand for themselves."""
+        w, v = sorted((w.rstrip(b"*"), v.rstrip(b"*")), key=len)
+        return w == v or len(w) >= STEM[0] and v.startswith(w)
+
     chosen: list[bytes] = []
-    for w in sorted(contrast, key=lambda w: (-contrast[w], w)):
-        if len(chosen) >= LANDMARKS or contrast[w] <= 0:
+    rank = {w: contrast[w] / max(error[w], 1e-9) for w in contrast if contrast[w] > 0}
+    for w in sorted(rank, key=lambda w: (-rank[w], w)):
+        if len(chosen) >= LANDMARKS or rank[w] < ERRORS and len(chosen) >= LEAST:
             break
-        if contrast[w] >= ERRORS * error[w]:
-            w = longest(w)
-            stem = w.rstrip(b"*")
-            # a longer or shorter stem of a chosen one says the same
-            if not any(stem.startswith(c.rstrip(b"*")) or c.rstrip(b"*").startswith(stem) for c in chosen):
-                chosen.append(w)
+        w = longest(w)
+        if not any(same(w, c) for c in chosen):
+            chosen.append(w)
     return chosen
 
 

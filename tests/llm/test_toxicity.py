@@ -94,3 +94,17 @@ def test_one_class_or_none(spark):
         assert [r.predicted for r in toxicity.predict(docs, toxicity.train(samples)).collect()] == [want]
     labels = spark.createDataFrame([(1, None), (1, 0), (1, 1), (None, 1)], "doc_id bigint, toxic int")
     assert toxicity.training_rows(docs, labels, "true") == [("a b", 1)]
+
+
+def test_few_labels_still_find_insults():
+    clean = [(f"a nice day number {i} in town", 0) for i in range(150)]
+    toxic = [(f"a nice {w} number {i} in town", 1) for i, w in enumerate(["idiot", "scum", "moron", "clown", "loser"] * 2)]
+    own = toxicity.train(clean + toxic)
+    assert {b"idiot", b"scum", b"moron", b"clown", b"loser"} <= {n.rstrip(b"*") for n in own.names}
+    scores = own.scores(["what an idiot", "the scum", "a moron", "that clown", "a loser", "a nice day", "day in town"])
+    assert (scores[:5] >= 0.5).all() and (scores[5:] < 0.5).all()
+
+
+def test_short_words_keep_longer_ones():
+    samples = [("ab abide idiot", 1)] * 40 + [("some words", 0)] * 40
+    assert {n.rstrip(b"*") for n in toxicity.train(samples).names} == {b"ab", b"abide", b"idiot"}
