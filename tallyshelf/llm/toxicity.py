@@ -9,6 +9,7 @@ machine is trained on.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +31,8 @@ PIECE = 32
 LANDMARKS, LEAST, STEM, ERRORS, KEPT_SHARE = 64, 16, (4, 8), 2.5, 0.9
 #: Training rows of each class; passes and strength of regularisation of the machine.
 SAMPLE_ROWS, STEPS, REGULAR = 1500, 800, 1e-4
+#: Characters put into the landmarks of toxic training rows, for copies that hold them disguised.
+MASKS = "-.*_"
 FRONT, BACK = 1, 2  # marks around a word
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b <= SPAN]
 
@@ -184,6 +187,24 @@ def _landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
     return chosen
 
 
+def _disguised(texts: list[str], names: list[bytes]) -> list[str]:
+    """The texts that hold a landmark, with a character put into each word that is one or begins as one."""
+    stems = [re.escape(n.rstrip(b"*").decode("utf-8", "ignore")) + (r"\w*" if n.endswith(b"*") else "") for n in names]
+    stems = [s for n, s in zip(names, stems) if len(n.rstrip(b"*")) >= STEM[0]]
+    known = re.compile(rf"(?<!\w)(?:{'|'.join(stems)})(?!\w)", re.IGNORECASE) if stems else None
+    out = []
+    for turn, text in enumerate(texts):
+        def put(found: re.Match) -> str:
+            word = found.group()
+            at = 1 + turn % max(len(word) - 1, 1)
+            return word[:at] + MASKS[turn % len(MASKS)] + word[at:]
+
+        changed = known.sub(put, text) if known else text
+        if changed != text:
+            out.append(changed)
+    return out
+
+
 def _landmark_triples(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     rows = np.full(1 << 24, -1, np.int16)
     found: dict[int, int] = {}
@@ -214,6 +235,8 @@ def train(samples: list[tuple[str, int]]) -> Machine:
     if not count or len(set(toxic.tolist())) < 2:
         machine.shift = 4.0 if len(toxic) and toxic.all() else -4.0
         return machine
+    copies = _disguised([t for t, y in zip(texts, toxic.tolist()) if y], names[:LEAST])
+    texts, toxic = texts + copies, np.append(toxic, np.ones(len(copies), np.int64))
     own = np.zeros((count, count))
     for i, name in enumerate(names):  # stems have no mark at their end
         data = np.frombuffer(name.rstrip(b"*"), np.uint8)

@@ -108,3 +108,19 @@ def test_few_labels_still_find_insults():
 def test_short_words_keep_longer_ones():
     samples = [("ab abide idiot", 1)] * 40 + [("some words", 0)] * 40
     assert {n.rstrip(b"*") for n in toxicity.train(samples).names} == {b"ab", b"abide", b"idiot"}
+
+
+def test_disguised_insults():
+    own = toxicity.train([("an idiot", 1)] * 100 + [("old scum", 1)] * 100 + [("an old nice day", 0)] * 300)
+    scores = own.scores(["an id-iot and sc.um", "an i.diot", "idio_t", "old s*cum", "an old day", "a nice day"])
+    assert (scores[:4] >= 0.5).all() and (scores[4:] < 0.5).all()
+
+
+def test_recall_and_precision_apart(tables):
+    documents, labels = tables
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [(r.predicted, truth[r.doc_id]) for r in toxicity.fit_and_predict(documents, labels).collect()
+            if r.held_out and r.doc_id in truth]
+    found = sum(p == t == 1 for p, t in rows)
+    assert found >= 0.85 * sum(t for _, t in rows)
+    assert found >= 0.5 * sum(p for p, _ in rows)
