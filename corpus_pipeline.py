@@ -13,11 +13,12 @@ from tallyshelf.sources.tables import cut_lineage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; a missing label is filled in. Texts without a letter go."""
+    """Documents with a language; a missing label is filled in if any could be learned. Texts without a letter go."""
     field = language.train(language.training_rows(docs, "true"))
     told = language.predict(docs, field, keep=docs.columns).toDF("_id", "_lang", "_score", *docs.columns)
-    told = told.filter(F.col("_lang") != language.UNKNOWN)
-    return told.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    told = told.filter(F.col("text").rlike(language.HAS_LETTER))  # whether or not a label could be learned
+    known = F.when(F.col("_lang") != language.UNKNOWN, F.col("_lang"))
+    return told.withColumn("lang", F.coalesce("lang", known)).select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

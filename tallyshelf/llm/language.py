@@ -28,6 +28,7 @@ BUCKETS, LEXICON, SWITCHED = 1 << 16, 300, 0.4
 ORDERS = (2, 3, 4)
 EPOCHS, RATE, DECAY = 6, 0.15, 1e-6
 LETTER = re.compile(r"[^\W\d_]")
+HAS_LETTER = r"[\p{L}\p{Nl}\p{No}]"  # the same for Spark
 
 
 def word_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
