@@ -130,3 +130,15 @@ def segments(symbols: np.ndarray, sizes: np.ndarray, window: int, gram: int) ->
         none = np.empty(0, np.int64)
         return Segments(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
     return Segments(*(np.concatenate([getattr(s, n) for s in found]) for n in ("first", "last", "place", "key", "content")))
+
+
+def window_hashes(symbols: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of whole windows, block by block; ``starts`` in ascending order."""
+    out = np.empty(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(symbols), BLOCK):
+            lo, hi = np.searchsorted(starts, (at, at + BLOCK))
+            if lo < hi:
+                own = starts[lo:hi] - at
+                out[lo:hi] = mixed(hashes(prefix_sums(symbols[at:at + BLOCK + window - 1]), own, own + window))
+    return out

@@ -22,6 +22,8 @@ from ..sources.tables import new_path
 CHUNK_BYTES = 4 << 20
 #: Input bytes for which there is one bucket.
 BUCKET_BYTES = 8 << 20
+#: Distinct segments under one anchor above which they are dealt out window by window.
+CROWD = 2048
 
 SCHEMA = "chunk bigint, ids array<bigint>, sizes array<bigint>, data binary, rest binary"
 MESSAGE = "bucket bigint, chunk bigint, payload binary"
@@ -178,30 +180,76 @@ def codes_of(keys: np.ndarray, count: int) -> np.ndarray:
     return (bucket_of(keys, count).astype(np.uint64) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
 
 
-def _shared(bucket: int, sent: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
-    keys = [np.frombuffer(blob, np.uint32) for _, blob in sent]
-    names, counts = np.unique(np.concatenate(keys), return_counts=True)
-    names = names[counts > 1]
-    found = [(sender, own[is_in(own, names)]) for (sender, _), own in zip(sent, keys)]
-    head = np.uint32(bucket).tobytes()
-    return [(0, sender, head + own.tobytes()) for sender, own in found if len(own)]
+def _counted(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a message of ``keys_elsewhere`` and the number of segments of each."""
+    many = int(np.frombuffer(blob[:4], np.uint32)[0])
+    parts = np.frombuffer(blob[4:], np.uint32)
+    codes = parts[2 * many:]
+    counts = np.ones(len(codes), np.int64)
+    counts[parts[:many]] = parts[many:2 * many]
+    return codes, counts
 
 
-def keys_elsewhere(chunks: DataFrame, keys_of: Callable[[dict], np.ndarray], count: int) -> DataFrame:
-    """Messages to each chunk: which codes of its keys other chunks have too, for ``sent_codes``."""
+def _shared(bucket: int, sent: list[tuple[int, bytes]], crowd: int) -> list[tuple[int, int, bytes]]:
+    keys = [_counted(blob) for _, blob in sent]
+    names, inverse, chunks = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True, return_counts=True)
+    total = np.bincount(inverse, np.concatenate([n for _, n in keys]), len(names))
+    crowded = names[(chunks > 1) & (total > crowd)]
+    names = names[chunks > 1]
+    found = [(sender, own[is_in(own, names)]) for (sender, _), (own, _) in zip(sent, keys)]
+    return [
+        (0, sender, np.concatenate([np.array([bucket, len(full)], np.uint32), full, own]).tobytes())
+        for sender, own in found if len(own) for full in [own[is_in(own, crowded)]]
+    ]
+
+
+def keys_elsewhere(
+    chunks: DataFrame, segments_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], count: int, crowd: int
+) -> DataFrame:
+    """Messages to each chunk: which codes of its keys other chunks have too, for ``sent_codes``.
+
+    ``segments_of`` gives (key, content) of the chunk's segments. Codes that have more than ``crowd``
+    distinct segments, chunk by chunk, are crowded; every chunk that has one is told so.
+    """
 
     def keys(chunk: dict) -> pa.Table:
-        names = np.unique(codes_of(keys_of(chunk), count))
+        key, content = segments_of(chunk)
+        key = key[np.unique(content, return_index=True)[1]]
+        names, counts = np.unique(codes_of(key, count), return_counts=True)
         buckets, short = (names >> np.uint64(32)).astype(np.int64), names.astype(np.uint32)
-        return messages([(b, chunk["chunk"], short[s].tobytes()) for b, s in cuts(buckets)])
+        rows = []
+        for b, s in cuts(buckets):
+            many = np.flatnonzero(counts[s] > 1).astype(np.uint32)
+            sizes = counts[s][many].astype(np.uint32)
+            head = np.array([len(many)], np.uint32)
+            rows.append((b, chunk["chunk"], np.concatenate([head, many, sizes, short[s]]).tobytes()))
+        return messages(rows)
+
+    return per_bucket(each_chunk(chunks, keys, MESSAGE), lambda bucket, sent: _shared(bucket, sent, crowd))
+
+
+def sent_codes(sent: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes from the messages of ``keys_elsewhere``: all of them, and the crowded ones."""
+    every, full = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for blob in sent:
+        part = np.frombuffer(blob, np.uint32).astype(np.uint64)
+        codes = (part[0] << np.uint64(32)) | part[2:]
+        every.append(codes[int(part[1]):])
+        full.append(codes[:int(part[1])])
+    return np.sort(np.concatenate(every)), np.sort(np.concatenate(full))
+
 
-    return per_bucket(each_chunk(chunks, keys, MESSAGE), _shared)
+def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers from each first to its last, one run after the other."""
+    width = last - first + 1
+    return np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width - first, width)
 
 
-def sent_codes(sent: list[bytes]) -> np.ndarray:
-    """Sorted codes from the messages of ``keys_elsewhere``."""
-    parts = [np.frombuffer(b, np.uint32).astype(np.uint64) for b in sent]
-    return np.sort(np.concatenate([(p[0] << np.uint64(32)) | p[1:] for p in parts] or [np.empty(0, np.uint64)]))
+def runs_of(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of the spans that windows with these starts cover, windows in a row taken together."""
+    starts = np.unique(starts)
+    border = np.flatnonzero(np.diff(starts) != 1)
+    return starts[np.append(0, border + 1)[:len(starts)]], starts[np.append(border, len(starts) - 1)[:len(starts)]] + window
 
 
 def _shared_flags(bucket: int, sent: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 
 from .anchors import Segments, segments
 from .chunks import (
-    MESSAGE, bucket_of, buckets_for, chunk_bytes_of, chunk_ids, codes_of, cuts, is_in, keys_elsewhere, messages, pack,
-    per_bucket, per_chunk, rows_table, sent_codes, unpack, write_chunks,
+    CROWD, MESSAGE, bucket_of, buckets_for, chunk_bytes_of, chunk_ids, codes_of, cuts, is_in, keys_elsewhere, messages,
+    pack, per_bucket, per_chunk, rows_table, sent_codes, unpack, write_chunks,
 )
 from .fm_index import FmIndex
 from .words import word_borders, word_hashes
@@ -108,14 +108,15 @@ def _removed(documents: DataFrame, run, schema: str, window: int, options: dict)
     count = buckets_for(chunks)
     plain = chunks.select("chunk", "ids", "sizes", "data")
 
-    def keys(chunk: dict) -> np.ndarray:
-        return _words(chunk, window, gram)[4].key
+    def keys(chunk: dict) -> tuple[np.ndarray, np.ndarray]:
+        found = _words(chunk, window, gram)[4]
+        return found.key, found.content
 
-    repeated = keys_elsewhere(plain, keys, count)
+    repeated = keys_elsewhere(plain, keys, count, CROWD)
 
     def around(chunk: dict, sent: list[bytes]) -> pa.Table:
         data, begin, end, _, found, doc = _words(chunk, window, gram)
-        known = is_in(codes_of(found.key, count), sent_codes(sent)) | is_in(found.key, _in_two_documents(found, doc))
+        known = is_in(codes_of(found.key, count), sent_codes(sent)[0]) | is_in(found.key, _in_two_documents(found, doc))
         rows = np.flatnonzero(known)
         found, doc = found.take(rows), doc[rows]
         if not len(found):

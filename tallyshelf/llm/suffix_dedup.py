@@ -9,7 +9,10 @@
    with equal insides together; with equal borders they are the same window.
 3. Each shard tells the chunks which windows start earlier elsewhere; the chunks cut their bytes.
 
-A passage in very many documents costs each chunk one row, not one row per copy.
+Segments that reach over the edge of a passage differ from copy to copy. Where one anchor has many
+distinct segments, their windows go one by one to the bucket of the hash of all their bytes instead:
+equal windows meet there, windows with own bytes spread over all buckets. Inside a passage, each chunk
+sends its first window only.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Segments, hashes, mixed, prefix_sums, segments
+from .anchors import Segments, hashes, mixed, prefix_sums, segments, window_hashes
 from .chunks import (
-    MESSAGE, bucket_of, buckets_for, chunk_bytes_of, chunk_ids, codes_of, cuts, is_in, keys_elsewhere, messages, pack,
-    per_bucket, per_chunk, rest_of, rows_table, sent_codes, unpack, write_chunks,
+    CROWD, MESSAGE, bucket_of, buckets_for, chunk_bytes_of, chunk_ids, codes_of, cuts, is_in, keys_elsewhere, messages,
+    pack, per_bucket, per_chunk, rest_of, rows_table, runs_of, sent_codes, spread, unpack, write_chunks,
 )
 from .suffixes import shared_prefixes, suffix_array
 
@@ -135,36 +138,60 @@ def _shard(sent: list[tuple[int, bytes]], window: int) -> list[tuple[int, int, b
     return [(0, c, pack(begin[s], end[s])) for c, s in cuts(to)]
 
 
+def _windows(sent: list[tuple[int, bytes]], window: int) -> list[tuple[int, int, bytes]]:
+    """Spans that each chunk has to remove, from the windows with the hashes of one bucket."""
+    sender = np.concatenate([np.full(len(unpack(blob)[0]), c) for c, blob in sent])
+    name, doc, start = map(np.concatenate, zip(*(unpack(blob) for _, blob in sent)))
+    rows = np.lexsort((start, sender, doc, name))
+    later = rows[1:][name[rows][1:] == name[rows][:-1]]
+    later = later[np.argsort(sender[later], kind="stable")]
+    return [(0, c, pack(*runs_of(start[later[s]], window))) for c, s in cuts(sender[later])]
+
+
 def _removed(documents: DataFrame, run, schema: str, window: int, keep: bool, options: dict) -> DataFrame:
     """``run(chunk, bytes, sizes, removed)`` of every chunk, where ``removed`` flags bytes."""
     gram = min(GRAM, max(1, 2 * window // 5))
     if window < CUT_WINDOW + 1:
         raise ValueError(f"the window has to be longer than {CUT_WINDOW} bytes")
+    crowd = options.pop("crowd", CROWD)
     chunks = write_chunks(documents, keep=keep, **options)
     count = buckets_for(chunks)
 
-    def keys(chunk: dict) -> np.ndarray:
-        return segments(*chunk_bytes_of(chunk), window, gram).key
+    def keys(chunk: dict) -> tuple[np.ndarray, np.ndarray]:
+        found = segments(*chunk_bytes_of(chunk), window, gram)
+        return found.key, found.content
 
     plain = chunks.select("chunk", "ids", "sizes", "data")
-    repeated = keys_elsewhere(plain, keys, count)
+    repeated = keys_elsewhere(plain, keys, count, crowd)
 
     def around(chunk: dict, sent: list[bytes]) -> pa.Table:
         data, sizes = chunk_bytes_of(chunk)
         found = segments(data, sizes, window, gram)
-        elsewhere = is_in(codes_of(found.key, count), sent_codes(sent))
+        codes = codes_of(found.key, count)
+        shared, full = sent_codes(sent)
+        elsewhere, crowded = is_in(codes, shared), is_in(codes, full)
         names, inverse, counts = np.unique(found.key, return_inverse=True, return_counts=True)
-        found = found.take(np.flatnonzero((counts[inverse] > 1) | elsewhere))
-        if not len(found):
+        single = found.take(np.flatnonzero(crowded))
+        found = found.take(np.flatnonzero(((counts[inverse] > 1) | elsewhere) & ~crowded))
+        if not len(found) and not len(single):
             return messages([])
-        owner = np.searchsorted(np.cumsum(sizes), found.first, "right")
-        ids = chunk_ids(chunk)
+        ids, stops = chunk_ids(chunk), np.cumsum(sizes)
         order = np.empty(len(ids), np.int64)
         order[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        start = spread(single.first, single.last)
+        name, text_of = window_hashes(data, start, window), np.searchsorted(stops, start, "right")
+        first = np.lexsort((start, order[text_of], name))
+        head = np.append(True, name[first][1:] != name[first][:-1])[:len(first)]
+        begin, end = runs_of(start[first[~head]], window)
+        owner = np.searchsorted(stops, found.first, "right")
         lead, others = _distinct(found, order[owner])
         # spans known here go the same way, in buckets that hand them on
-        spans = pack(found.first[others], found.last[others] + window)
+        spans = pack(np.append(found.first[others], begin), np.append(found.last[others] + window, end))
         rows = [(count + chunk["chunk"] % count, chunk["chunk"], spans)]
+        first = first[head]
+        for b, s in cuts(bucket_of(name[first], count)):
+            own = first[s]
+            rows.append((2 * count + b, chunk["chunk"], pack(name[own], ids[text_of[own]], start[own])))
         lead = lead[np.argsort(found.key[lead], kind="stable")]
         bucket = bucket_of(found.key[lead], count)
         raw = data.tobytes()
@@ -178,6 +205,8 @@ def _removed(documents: DataFrame, run, schema: str, window: int, keep: bool, op
         return messages(rows)
 
     def shard(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
+        if bucket >= 2 * count:
+            return _windows(rows, window)
         if bucket >= count:
             return [(0, c, p) for c, p in rows]
         gc.disable()  # many small lists, no cycles

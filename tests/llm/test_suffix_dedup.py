@@ -110,3 +110,31 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert suffix_dedup.repeat_digests(docs).collect() == []
     assert suffix_dedup.without_repeats(docs).collect() == []
+
+
+def lined(seed=4):
+    """Texts with a common line between their own words, some of them copies."""
+    rng = random.Random(seed)
+    own = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line = own(150)
+    rows = [(i, own(rng.randint(0, 90)) + line + own(rng.randint(0, 90))) for i in range(60)]
+    return rows + [(i + 60, rows[i][1] + line[:120]) for i in range(10)] + [(None, line), (3, line), (70, None), (70, own(200))]
+
+
+def test_common_line_is_dealt_out_by_window(spark, monkeypatch):
+    mail = []
+    plain_way = suffix_dedup.per_bucket
+    monkeypatch.setattr(suffix_dedup, "per_bucket", lambda mailbox, run: (mail.append(mailbox), plain_way(mailbox, run))[1])
+    rows = lined()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = suffix_dedup.repeat_digests(docs, crowd=8, chunk_bytes=2000)
+    flags = brute(rows, 100)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted((digest(r, flags[i]) for i, r in enumerate(rows)), key=repr)
+    segments, windows = {}, 0
+    for r in mail[0].collect():
+        part = suffix_dedup.unpack(r.payload)
+        if len(part) == 6:
+            for k in part[0].tolist():
+                segments[k] = segments.get(k, 0) + 1
+        windows += len(part[0]) if len(part) == 3 else 0
+    assert windows and max(segments.values(), default=0) <= 8
