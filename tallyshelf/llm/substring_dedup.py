@@ -5,6 +5,9 @@ the segments around anchors that other documents have too, to the bucket of thei
 bucket is a shard: its distinct segments are indexed, the segments of the documents are streamed over
 the index, and backward search gives the matching statistics of each place. Where a match reaches the
 threshold, the interval of suffixes names the documents that have it, and the smallest id decides.
+
+Where one anchor has many distinct segments, their windows go one by one to the bucket of the hash of
+all their words instead, and the smallest id of each hash decides.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import Segments, segments
+from .anchors import Segments, segments, window_hashes
 from .chunks import (
     CROWD, MESSAGE, bucket_of, buckets_for, chunk_bytes_of, chunk_ids, codes_of, cuts, is_in, keys_elsewhere, messages,
-    pack, per_bucket, per_chunk, rows_table, sent_codes, unpack, write_chunks,
+    pack, per_bucket, per_chunk, rows_table, runs_of, sent_codes, spread, unpack, write_chunks,
 )
 from .fm_index import FmIndex
 from .words import word_borders, word_hashes
@@ -34,6 +37,31 @@ def _words(chunk: dict, window: int, gram: int):
     return data, begin, end, counts, found, chunk_ids(chunk)[owner]
 
 
+def _own_windows(data, begin, end, single: Segments, doc: np.ndarray, window: int):
+    """(hash, id, start) of the segments' windows under the smallest id of the chunk, and starts of all others."""
+    start = spread(single.first, single.last)
+    doc = np.repeat(doc, single.last - single.first + 1)
+    name = window_hashes(word_hashes(data, begin, end), start, window)
+    rows = np.lexsort((start, doc, name))
+    name, doc, start = name[rows], doc[rows], start[rows]
+    head = np.append(True, name[1:] != name[:-1])[:len(rows)]
+    least = doc[head][np.cumsum(head) - 1]
+    return name[doc == least], doc[doc == least], start[doc == least], start[doc > least]
+
+
+def _windows(sent: list[tuple[int, bytes]], window: int) -> list[tuple[int, int, bytes]]:
+    """To each chunk, the spans of windows that a smaller id has, of the hashes of one bucket."""
+    sender = np.concatenate([np.full(len(unpack(blob)[0]), c) for c, blob in sent])
+    name, doc, start = map(np.concatenate, zip(*(unpack(blob) for _, blob in sent)))
+    _, group = np.unique(name, return_inverse=True)
+    least = np.full(int(group.max()) + 1, 2**63 - 1, np.int64)
+    np.minimum.at(least, group, doc)
+    later = np.flatnonzero(doc > least[group])
+    later = later[np.argsort(sender[later], kind="stable")]
+    none = np.empty(0, np.int64)
+    return [(0, c, pack(*runs_of(start[later[s]], window), none, none)) for c, s in cuts(sender[later])]
+
+
 def _in_two_documents(found: Segments, doc: np.ndarray) -> np.ndarray:
     """Keys that occur under two ids or more."""
     rows = np.lexsort((doc, found.key))
@@ -104,6 +132,7 @@ def _shard(sent: list[tuple[int, bytes]], window: int) -> list[tuple[int, int, b
 
 def _removed(documents: DataFrame, run, schema: str, window: int, options: dict) -> DataFrame:
     gram = min(GRAM, window)
+    crowd = options.pop("crowd", CROWD)
     chunks = write_chunks(documents, **options)
     count = buckets_for(chunks)
     plain = chunks.select("chunk", "ids", "sizes", "data")
@@ -112,14 +141,18 @@ def _removed(documents: DataFrame, run, schema: str, window: int, options: dict)
         found = _words(chunk, window, gram)[4]
         return found.key, found.content
 
-    repeated = keys_elsewhere(plain, keys, count, CROWD)
+    repeated = keys_elsewhere(plain, keys, count, crowd)
 
     def around(chunk: dict, sent: list[bytes]) -> pa.Table:
         data, begin, end, _, found, doc = _words(chunk, window, gram)
-        known = is_in(codes_of(found.key, count), sent_codes(sent)[0]) | is_in(found.key, _in_two_documents(found, doc))
-        rows = np.flatnonzero(known)
+        codes = codes_of(found.key, count)
+        shared, full = sent_codes(sent)
+        known = is_in(codes, shared) | is_in(found.key, _in_two_documents(found, doc))
+        crowded = is_in(codes, full)
+        single, single_doc = found.take(np.flatnonzero(crowded)), doc[crowded]
+        rows = np.flatnonzero(known & ~crowded)
         found, doc = found.take(rows), doc[rows]
-        if not len(found):
+        if not len(found) and not len(single):
             return messages([])
         # of equal segments, those under the smallest id stand for what other chunks may have
         rows = np.lexsort((found.first, doc, found.content))
@@ -129,9 +162,14 @@ def _removed(documents: DataFrame, run, schema: str, window: int, options: dict)
         later = doc[rows] > doc[lead]
         twin = ~head & ~later
         # spans known here go the same way, in buckets that hand them on
+        name, ids, start, gone = _own_windows(data, begin, end, single, single_doc, window)
+        first, stop = runs_of(gone, window)
         out = [(count + chunk["chunk"] % count, chunk["chunk"], pack(
-            found.first[rows[later]], found.last[rows[later]] + window, found.first[lead[twin]], found.first[rows[twin]]
+            np.append(found.first[rows[later]], first), np.append(found.last[rows[later]] + window, stop),
+            found.first[lead[twin]], found.first[rows[twin]],
         ))]
+        for b, s in cuts(bucket_of(name, count)):
+            out.append((2 * count + b, chunk["chunk"], pack(name[s], ids[s], start[s])))
         own = rows[head]
         own = own[np.argsort(found.key[own], kind="stable")]
         raw = data.tobytes()
@@ -146,6 +184,8 @@ def _removed(documents: DataFrame, run, schema: str, window: int, options: dict)
         return messages(out)
 
     def shard(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
+        if bucket >= 2 * count:
+            return _windows(rows, window)
         return [(0, c, p) for c, p in rows] if bucket >= count else _shard(rows, window)
 
     letters = per_bucket(per_chunk(plain, repeated, around, MESSAGE), shard)

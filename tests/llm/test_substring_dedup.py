@@ -110,3 +110,25 @@ def test_odd_rows(spark):
     texts = {hashlib.sha256(r.text.encode()).hexdigest() for r in substring_dedup.without_repeats(docs).collect()}
     assert texts == {g[3] for g in got}
     assert substring_dedup.repeat_digests(docs.limit(0)).collect() == []
+
+
+def test_common_line_is_dealt_out_by_window(spark, monkeypatch):
+    rng = random.Random(5)
+    own = lambda n: " ".join(rng.choices("abcdefgh", k=n))
+    line = own(18)
+    rows = [(i, f"{own(rng.randint(0, 15))} {line} {own(rng.randint(0, 15))}") for i in range(60)]
+    rows += [(i + 60, f"{rows[i][1]} {line}") for i in range(10)] + [(None, line), (3, f"{line} {line}"), (70, None), (70, own(40))]
+    mail = []
+    plain_way = substring_dedup.per_bucket
+    monkeypatch.setattr(substring_dedup, "per_bucket", lambda mailbox, run: (mail.append(mailbox), plain_way(mailbox, run))[1])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = substring_dedup.repeat_digests(docs, crowd=8, chunk_bytes=1000)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 13)
+    segments, windows = {}, 0
+    for r in mail[0].collect():
+        part = substring_dedup.unpack(r.payload)
+        if len(part) == 7:
+            for k in part[0].tolist():
+                segments[k] = segments.get(k, 0) + 1
+        windows += len(part[0]) if len(part) == 3 else 0
+    assert windows and max(segments.values(), default=0) <= 8
