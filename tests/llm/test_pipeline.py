@@ -93,3 +93,12 @@ def test_texts_without_any_label_are_kept(spark, folder):
     odd = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(["½ 2", "_ 3", "ß", "語", "٣"])], SCHEMA)
     want = [i for i, t in enumerate(["½ 2", "_ 3", "ß", "語", "٣"]) if language.LETTER.search(t)]
     assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, odd, folder).collect()) == want
+
+
+def test_nothing_but_the_plain_rows_comes_out(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    rows = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, list(r.ids)) for r in got)
+    # a text without words has its end id only; the plain version leaves those out
+    assert [r for r in rows if r[1] > 1] == plain(corpus(), language.training_rows(docs, "true"))
+    assert not {100, 101, 102} & {r[0] for r in rows}
