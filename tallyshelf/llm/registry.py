@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import deleted, embedding_dedup, jaccard, language, mixing, neighbours, pieces, substring_dedup, suffix_dedup, toxicity
+from . import (
+    byte_bpe, centroids, deleted, embedding_dedup, jaccard, language, mixing, neighbours, pieces, substring_dedup,
+    suffix_dedup, toxicity, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +76,27 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector with its cluster and distance after five rounds, in whole numbers."""
+    return centroids.clustered(table(spark, folder, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the first 32 principal components, scaled to variance one, in long form."""
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def byte_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded to byte-level tokens and decoded again, as digests."""
+    return byte_bpe.encode_digests(table(spark, folder, "documents"), byte_model())
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -85,6 +109,9 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
+        "op11_centroids": op11_centroids,
+        "op12_whitening": op12_whitening,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
@@ -95,4 +122,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_embedding_dedup": embedding_dedup.SQL,
         "op7_ngram_jaccard": jaccard.SQL,
         "op10_mixing": mixing.SQL,
+        "op11_centroids": centroids.SQL,
     }
