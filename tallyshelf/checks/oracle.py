@@ -510,6 +510,37 @@ def _integrity() -> str:
     return with_star("\nUNION ALL ".join(parts))
 
 
+def _snapshots_with_names() -> str:
+    return with_star(
+        """SELECT snapshot_date, store_id, region_name, product_id, inventory_level, units_sold, units_ordered,
+                  current_price, weather_condition, season_name, promotion_id
+           FROM facts LEFT JOIN weather_conditions USING (weather_id)"""
+    )
+
+
+def _star_rejects() -> str:
+    cells = ", ".join(
+        f"COALESCE(CAST({c} AS VARCHAR), {null})" for c, null in (
+            ("Date", "''"), ("Store_ID", "''"), ("Product_ID", "''"), ("Category", "''"), ("Region", "''"),
+            ("Inventory_Level", "''"), ("Units_Sold", "''"), ("Units_Ordered", "''"), ("Demand_Forecast", "''"),
+            ("Price", "''"), ("Discount", "''"), ("Weather_Condition", "''"), ("Holiday_Promotion", "''"),
+            ("Competitor_Pricing", "''"), ("Seasonality", "CASE WHEN d = 13 THEN '\\N' ELSE '' END"),
+        )
+    )
+    return f"""
+      SELECT CONCAT_WS(',', {cells}) AS line,
+             CASE d WHEN 13 THEN 'unreadable value' WHEN 17 THEN 'null key' ELSE 'unknown region' END AS reason,
+             TRUE AS origin_known
+      FROM (
+        SELECT * REPLACE (
+                 CASE WHEN DAY(Date) = 13 THEN 'n/a' ELSE CAST(Units_Sold AS VARCHAR) END AS Units_Sold,
+                 CASE WHEN DAY(Date) <> 17 THEN Store_ID END AS Store_ID,
+                 CASE WHEN DAY(Date) = 19 THEN '' ELSE Region END AS Region),
+               DAY(Date) AS d
+        FROM ({RAW}))
+      WHERE d IN (13, 17, 19)"""
+
+
 def oracle_sql() -> dict[str, str]:
     def table(name: str) -> str:
         return with_star(f"SELECT * FROM {name}")
@@ -540,11 +571,9 @@ def oracle_sql() -> dict[str, str]:
         "fact_snapshots": table("snap"),
         "price_history": table("prices"),
         "dims_incremental": _dims_incremental(),
-        "star_incremental": with_star(
-            """SELECT snapshot_date, store_id, region_name, product_id, inventory_level, units_sold, units_ordered,
-                      current_price, weather_condition, season_name, promotion_id
-               FROM facts LEFT JOIN weather_conditions USING (weather_id)"""
-        ),
+        "star_incremental": _snapshots_with_names(),
+        "star_compacted": _snapshots_with_names(),
+        "star_rejects": _star_rejects(),
         "integrity_violations": _integrity(),
         "current_stock": _current_stock(),
         "reorder_points": _reorder_points(),

@@ -22,7 +22,7 @@ def rnd(value: Column, places: int = 0) -> Column:
 _HALF = 31  # squares are summed in two halves of this many bits, so that the sums stay in BIGINT
 
 
-def moment_sums(value: Column, name: str) -> list[Column]:
+def moments(value: Column) -> list[Column]:
     """Count, sum and sum of squares of an integer column as exact, mergeable aggregates.
 
     Integers add up the same in any order, so averages and deviations built on them do not change
@@ -31,12 +31,13 @@ def moment_sums(value: Column, name: str) -> list[Column]:
     """
     wide = value.cast("bigint")
     square = wide * wide
-    return [
-        F.count(value).alias(f"{name}_n"),
-        F.sum(wide).alias(f"{name}_sum"),
-        F.sum(F.shiftright(square, _HALF)).alias(f"{name}_sq_high"),
-        F.sum(square.bitwiseAND(F.lit(2**_HALF - 1).cast("bigint"))).alias(f"{name}_sq_low"),
-    ]
+    low = square.bitwiseAND(F.lit(2**_HALF - 1).cast("bigint"))
+    return [F.count(value), F.sum(wide), F.sum(F.shiftright(square, _HALF)), F.sum(low)]
+
+
+def moment_sums(value: Column, name: str) -> list[Column]:
+    """``moments`` of a column under the names that ``mean_of`` and ``pop_sd`` know."""
+    return [m.alias(n) for m, n in zip(moments(value), moment_names(name))]
 
 
 def moment_names(name: str) -> list[str]:

@@ -1,6 +1,7 @@
 from .gaps import replenishments
 from .integrity import (
     IntegrityError, assert_integrity, check_fk, check_not_null, check_unique, integrity_report,
+    not_null_rule, unique_rule,
 )
 from .latest import latest_by, latest_with_ties
 from .numbering import numbered
@@ -12,7 +13,7 @@ from .upsert import insert_if_absent
 
 __all__ = [
     "IntegrityError", "assert_integrity", "check_fk", "check_not_null", "check_unique",
-    "insert_if_absent", "integrity_report", "latest_by", "latest_with_ties", "numbered",
+    "insert_if_absent", "integrity_report", "latest_by", "latest_with_ties", "not_null_rule", "numbered",
     "pivot_fixed", "pivot_values", "replenishments", "series_stats", "trailing_months",
-    "with_region_name", "with_regions",
+    "unique_rule", "with_region_name", "with_regions",
 ]

@@ -126,12 +126,36 @@ def _references_sql(children: Mapping[str, Mapping[str, str]]) -> str:
       GROUP BY table_name, rule"""
 
 
-def integrity_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per declared rule of the given tables: what was checked and what breaks it."""
+#: What a writer counted while it wrote a table: rule -> (checked, violations).
+Counted = Mapping[str, tuple[int, int]]
+
+
+def unique_rule(keys: Sequence[str]) -> str:
+    return f"unique({', '.join(keys)})"
+
+
+def not_null_rule(column: str) -> str:
+    return f"not null({column})"
+
+
+def _counted_sql(name: str, counted: Counted) -> str:
+    rows = ", ".join(f"('{name}', '{rule}', {checked}L, {bad}L)" for rule, (checked, bad) in counted.items())
+    return f"SELECT * FROM VALUES {rows} AS t(table_name, rule, checked, violations)"
+
+
+def integrity_report(tables: Mapping[str, DataFrame], counted: Mapping[str, Counted] | None = None) -> DataFrame:
+    """One row per declared rule of the given tables: what was checked and what breaks it.
+
+    Unique keys and mandatory columns of the tables in ``counted`` were checked while they were
+    written; those counts are reported as they are, and only references are looked up.
+    """
+    counted = counted or {}
     small = [n for n in tables if n in DIMENSIONS]
     parts = [_dimension_unique_sql(small), _dimension_not_null_sql(small)] if small else []
     for name in tables:
-        if name not in small:
+        if name in counted:
+            parts.append(_counted_sql(name, counted[name]))
+        elif name not in small:
             parts += [_unique_sql(name, keys) for keys in UNIQUE[name]]
             parts.append(_not_null_sql(name, NOT_NULL[name]))
     children = {n: REFERENCES[n] for n in tables if n in REFERENCES}
@@ -141,9 +165,9 @@ def integrity_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     return spark.sql(_union(parts), **tables)
 
 
-def assert_integrity(tables: Mapping[str, DataFrame]) -> None:
+def assert_integrity(tables: Mapping[str, DataFrame], counted: Mapping[str, Counted] | None = None) -> None:
     """Raise if any rule is broken. Collects broken rules only, at most one row per rule."""
-    broken = integrity_report(tables).filter("violations > 0").collect()
+    broken = integrity_report(tables, counted).filter("violations > 0").collect()
     if broken:
         lines = [f"{r.table_name}: {r.rule} broken by {r.violations} of {r.checked}" for r in broken]
         raise IntegrityError("; ".join(sorted(lines)))

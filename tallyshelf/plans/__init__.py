@@ -3,11 +3,13 @@ from .boards import (
     product_store_matrix, product_store_status, status_counts, status_pivot,
 )
 from .load import (
-    Star, UnreadableError, append_star, bridge_store_regions, build_dimensions, dim_products, dim_promotions, dim_regions,
-    dim_seasons, dim_stores, dim_weather, fact_snapshots, grow_dimensions, load_star, price_history,
-    read_star, reject_counts, rejects,
+    bridge_store_regions, build_dimensions, dim_products, dim_promotions, dim_regions, dim_seasons, dim_stores,
+    dim_weather, fact_snapshots, grow_dimensions, price_history, reject_counts, rejects,
 )
 from .risk import stockout_rate, stockout_risk, supplier_inconsistency
+from .star import (
+    ConflictError, Star, UnreadableError, append_star, compact_star, load_star, read_star, vacuum_star,
+)
 from .stock import (
     average_stock_level, current_stock, low_stock_alerts, reorder_points, seasonal_reorder_points,
     stock_adjustment,
@@ -19,8 +21,8 @@ from .turnover import (
 )
 
 __all__ = [
-    "Star", "UnreadableError", "append_star", "average_stock_level", "bridge_store_regions", "build_dimensions",
-    "clean_region_month", "current_stock", "dead_stock", "demand_trend", "dim_products",
+    "ConflictError", "Star", "UnreadableError", "append_star", "average_stock_level", "bridge_store_regions", "build_dimensions",
+    "clean_region_month", "compact_star", "current_stock", "dead_stock", "demand_trend", "dim_products",
     "dim_promotions", "dim_regions", "dim_seasons", "dim_stores", "dim_weather", "fact_snapshots",
     "grow_dimensions", "inventory_age", "issue_heatmap",
     "kpi_traffic_lights", "last_months", "load_star", "low_stock_alerts", "monthly_kpis", "monthly_trend",
@@ -28,4 +30,5 @@ __all__ = [
     "product_store_matrix", "product_store_status", "read_star", "reject_counts", "rejects", "reorder_points", "seasonal_demand", "seasonal_reorder_points",
     "sell_through_region_month", "sell_through_store_month", "status_counts", "status_pivot",
     "stock_adjustment", "stockout_rate", "stockout_risk", "supplier_inconsistency",
+    "vacuum_star",
 ]

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BOARD_BELOW, BOARD_NEAR, BOARD_STATUS, KPI_BOUNDS, LIGHTS
-from ..functions import label_ladder, mean_of, month_index, month_label, quotient, rnd
+from ..functions import label_ladder, mean_of, month_label, quotient, rnd
 from ..operators import pivot_fixed, with_region_name
 from .load import MONTH
+from .rollup import measured, month_of
 from .risk import last_day, since
 from .turnover import sell_through
 
@@ -19,21 +20,16 @@ Dims = Mapping[str, DataFrame]
 
 def monthly_kpis(snap: DataFrame) -> DataFrame:
     """Average stock, stockout share, turnover and sell-through of each store and month."""
-    months = snap.groupBy("store_id", month_index(F.col("snapshot_date")).alias("month")).agg(
-        F.count(F.lit(1)).alias("days"),
-        F.count_if(F.col("inventory_level") == 0).alias("empty"),
-        F.sum("inventory_level").alias("level_sum"),
-        F.count("inventory_level").alias("level_n"),
-        F.max("inventory_level").alias("level_max"),
-        F.sum("units_sold").alias("sold"),
+    months = measured(
+        snap, ["store_id", month_of(snap)], ["days", "empty_days", "level_sum", "level_n", "level_max", "sold_sum"]
     )
     return months.orderBy("store_id", "month").select(
         "store_id",
         month_label(F.col("month")).alias("month"),
         rnd(mean_of("level"), 2).alias("average_stock_level"),
-        rnd(quotient(F.col("empty"), F.col("days")), 2).alias("stockout_rate"),
-        rnd(quotient(F.col("sold"), mean_of("level")), 2).alias("inventory_turnover"),
-        sell_through(F.col("sold"), F.col("level_max")).alias("sell_through_rate"),
+        rnd(quotient(F.col("empty_days"), F.col("days")), 2).alias("stockout_rate"),
+        rnd(quotient(F.col("sold_sum"), mean_of("level")), 2).alias("inventory_turnover"),
+        sell_through(F.col("sold_sum"), F.col("level_max")).alias("sell_through_rate"),
     )
 
 

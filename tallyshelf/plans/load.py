@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import HOLIDAY_FLAG, PROMOTIONS
-from ..operators import assert_integrity, insert_if_absent, numbered
-from ..sources.raw_csv import CORRUPT
-from ..schema import DIMENSIONS, RAW, STAR
-from ..sources.tables import cut_lineage, drop_path, has_path, intermediates, new_path, read_table, write_table
+from ..operators import insert_if_absent, numbered
+from ..schema import RAW, STAR
+from ..sources.raw_csv import BLOCK, CORRUPT, FILE
 
 
 def _named(column: str):
@@ -141,87 +138,81 @@ def price_history(raw: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def seen_names(raw: DataFrame) -> DataFrame:
-    """Distinct texts the small dimensions are made of, written out: one narrow scan feeds them all."""
-    texts = raw.select("Store_ID", "Region", "Weather_Condition", "Seasonality").distinct()
-    return cut_lineage(texts, "seen")
+    """Distinct texts the small dimensions are made of, from one narrow scan."""
+    return raw.select("Store_ID", "Region", "Weather_Condition", "Seasonality").distinct()
 
 
-def build_dimensions(raw: DataFrame) -> dict[str, DataFrame]:
-    """All dimensions of one batch of raw rows."""
-    seen = seen_names(raw)
-    regions = dim_regions(seen)
+#: Dimensions of numbered names: table -> (source column, id, name).
+NUMBERED = {
+    "regions": ("Region", "region_id", "region_name"),
+    "weather_conditions": ("Weather_Condition", "weather_id", "weather_condition"),
+    "seasonality": ("Seasonality", "season_id", "season_name"),
+}
+
+
+def _stacked(seen: DataFrame) -> DataFrame:
+    """(dimension, name) of every named text of the numbered dimensions."""
+    pairs = [F.struct(F.lit(table).alias("dimension"), F.col(c).alias("name")) for table, (c, _, _) in NUMBERED.items()]
+    return seen.select(F.inline(F.array(*pairs))).filter(_named("name")).distinct()
+
+
+def _unstacked(ids: DataFrame) -> dict[str, DataFrame]:
+    return {
+        table: ids.filter(F.col("dimension") == table).select(F.col("id").alias(ident), F.col("name").alias(name))
+        for table, (_, ident, name) in NUMBERED.items()
+    }
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def build_dimensions(raw: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = _kept) -> dict[str, DataFrame]:
+    """All dimensions of one batch of raw rows.
+
+    ``keep`` is given what several dimensions are made of, the seen names and their numbers; a load
+    writes them out (``cut_lineage``), else they are computed for each dimension.
+    """
+    seen = keep(seen_names(raw), "seen")
+    named = _unstacked(keep(numbered(_stacked(seen), "name", "id", within="dimension"), "ids"))
     return {
         "stores": dim_stores(seen),
-        "regions": regions,
-        "store_regions": bridge_store_regions(seen, regions),
+        "regions": named["regions"],
+        "store_regions": bridge_store_regions(seen, named["regions"]),
         "products": dim_products(raw),
-        "weather_conditions": dim_weather(seen),
-        "seasonality": dim_seasons(seen),
+        "weather_conditions": named["weather_conditions"],
+        "seasonality": named["seasonality"],
         "promotions": dim_promotions(raw.sparkSession),
     }
 
 
-def grow_dimensions(dims: Mapping[str, DataFrame], raw: DataFrame) -> dict[str, DataFrame]:
+def grow_dimensions(
+    dims: Mapping[str, DataFrame], raw: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = _kept
+) -> dict[str, DataFrame]:
     """Dimensions after one more batch: known keys keep their row and id, new keys are added."""
-    seen = seen_names(raw)
-    regions = insert_if_absent(dims["regions"], region_names(seen), ["region_name"], "region_id")
+    seen = keep(seen_names(raw), "seen")
+    known = reduce(DataFrame.unionByName, [
+        dims[table].select(F.lit(table).alias("dimension"), F.col(name).alias("name"), F.col(ident).alias("id"))
+        for table, (_, ident, name) in NUMBERED.items()
+    ])
+    fresh = _stacked(seen).join(known.select("dimension", "name"), ["dimension", "name"], "left_anti")
+    last = known.groupBy("dimension").agg(F.max("id").alias("last"))
+    added = _unstacked(keep(numbered(fresh, "name", "id", last, "dimension"), "ids"))
+    named = {table: dims[table].unionByName(added[table]) for table in NUMBERED}
     return {
         "stores": insert_if_absent(dims["stores"], dim_stores(seen), ["store_id"]),
-        "regions": regions,
+        "regions": named["regions"],
         "store_regions": insert_if_absent(
-            dims["store_regions"], bridge_store_regions(seen, regions), ["store_id", "region_id"]
+            dims["store_regions"], bridge_store_regions(seen, named["regions"]), ["store_id", "region_id"]
         ),
         "products": insert_if_absent(dims["products"], dim_products(raw), ["product_id"]),
-        "weather_conditions": insert_if_absent(
-            dims["weather_conditions"], weather_names(seen), ["weather_condition"], "weather_id"
-        ),
-        "seasonality": insert_if_absent(
-            dims["seasonality"], season_names(seen), ["season_name"], "season_id"
-        ),
+        "weather_conditions": named["weather_conditions"],
+        "seasonality": named["seasonality"],
         "promotions": dims["promotions"],
     }
 
 
-@dataclass(frozen=True)
-class Star:
-    """Loaded tables: the staged raw rows unless dropped, the fact with its month column, and the rest."""
-
-    raw: DataFrame | None
-    snap: DataFrame
-    dims: dict[str, DataFrame]
-    prices: DataFrame
-    months: DataFrame
-    rejects: DataFrame
-    path: str
-    parts: tuple[str, ...]
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {**self.dims, "inventory_snapshots": self.snap, "price_history": self.prices}
-
-    def drop_stage(self) -> None:
-        """Delete the staged raw rows; ``raw`` cannot be read afterwards, all else can."""
-        drop_path(self.snap.sparkSession, f"{self.path}/raw")
-
-
-MONTH = "snapshot_month"
-
-
-def write_snapshots(fact: DataFrame, path: str, mode: str = "error") -> None:
-    """Write the fact in month folders, clustered by series.
-
-    The range shuffle runs on the month and the whole natural key, so a busy month, store or
-    product is split over as many tasks as its size asks for. Rows of a series end up side by
-    side, which lets the reports' map-side aggregation shrink them before any shuffle.
-    """
-    rows = fact.withColumn(MONTH, F.trunc("snapshot_date", "MM"))
-    order = [MONTH, "store_id", "product_id", "region_id", "snapshot_date"]
-    clustered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    write_table(clustered, path, partition_by=[MONTH], mode=mode)
-
-
-class UnreadableError(ValueError):
-    """Raw rows hold values that do not fit their column."""
-
+MONTH, PRICE_MONTH = "snapshot_month", "price_month"
 
 UNREADABLE, NULL_KEY, NO_REGION = REASONS = ("unreadable value", "null key", "unknown region")
 
@@ -234,11 +225,19 @@ def reject_reason(raw: DataFrame) -> Column:
 
 
 def rejects(raw: DataFrame) -> DataFrame:
-    """Raw rows that give no snapshot: the line as it was, or its columns joined, and the reason."""
+    """Raw rows that give no snapshot: the line as it was, or its columns joined, the reason and where it stood.
+
+    ``file`` and ``block`` name the input file and the first byte of the block that a task read the
+    line from; they are NULL for rows that no file was read for.
+    """
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in RAW.names])
     if CORRUPT in raw.columns:
         line = F.coalesce(F.col(CORRUPT), line)
-    return raw.select(line.alias("line"), reject_reason(raw).alias("reason")).filter("reason IS NOT NULL")
+    file = F.col(FILE) if FILE in raw.columns else F.lit(None).cast("string")
+    block = F.col(BLOCK) if BLOCK in raw.columns else F.lit(None).cast("bigint")
+    return raw.select(
+        line.alias("line"), reject_reason(raw).alias("reason"), file.alias("file"), block.alias("block")
+    ).filter("reason IS NOT NULL")
 
 
 def reject_counts(raw: DataFrame) -> DataFrame:
@@ -246,157 +245,3 @@ def reject_counts(raw: DataFrame) -> DataFrame:
     reason = reject_reason(raw)
     counts = raw.agg(*[F.count_if(reason == r).alias(r) for r in REASONS])
     return counts.unpivot([], list(REASONS), "reason", "rows")
-
-
-def month_table(snap: DataFrame) -> DataFrame:
-    """One row per month of the fact: its first and last day and its rows."""
-    return snap.groupBy(MONTH).agg(
-        F.min("snapshot_date").alias("first_day"), F.max("snapshot_date").alias("last_day"),
-        F.count(F.lit(1)).alias("rows"),
-    )
-
-
-def load_star(
-    spark: SparkSession, raw: DataFrame, path: str | None = None, *, unreadable: str = "refuse",
-    keep_stage: bool = True,
-) -> Star:
-    """Load all tables under ``path`` (default: the shared folder), check their rules, publish them.
-
-    Rows that give no snapshot are written to a table ``rejects`` with the reason. Rows with a value
-    that does not fit its column are among them with ``unreadable="set_aside"``; with ``"refuse"``
-    they refuse the load. Each load writes a folder of its own. Only when all rules hold does the
-    marker that ``read_star`` follows name it; a refused load leaves no files and what was there
-    before stays readable. ``keep_stage=False`` also drops the staged raw rows.
-    """
-    if unreadable not in ("refuse", "set_aside"):
-        raise ValueError(f"unreadable must be refuse or set_aside, not {unreadable}")
-    path = path or new_path(spark, "star")
-    version = f"{path}/{uuid.uuid4().hex}"
-    try:
-        with intermediates(spark):
-            star = _write_star(spark, raw, version, unreadable)
-        assert_integrity(star.tables())
-    except Exception:
-        drop_path(spark, version)
-        raise
-    if not keep_stage:
-        star.drop_stage()
-    _publish(spark, path, version, [version])
-    return star
-
-
-MARKER = "version string, parts array<string>"
-
-
-def _publish(spark: SparkSession, path: str, version: str, parts: list[str]) -> None:
-    marker = spark.range(1).select(F.lit(version).alias("version"), F.array(*map(F.lit, parts)).alias("parts"))
-    write_table(marker.coalesce(1), f"{path}/current", mode="overwrite")
-
-
-def append_star(spark: SparkSession, path: str, raw: DataFrame, *, unreadable: str = "refuse") -> Star:
-    """Load more days into the star published under ``path``.
-
-    Known dimension rows keep their ids, new ones are added; new snapshots and prices are written
-    next to the stored ones, which are not copied. The unique key is checked against the stored rows
-    of the months that come in. As with ``load_star``, nothing is published unless all rules hold.
-    """
-    old = read_star(spark, path)
-    version = f"{path}/{uuid.uuid4().hex}"
-    try:
-        stage = _stage(spark, raw, version, unreadable)
-        with intermediates(spark):
-            dims = _write_dimensions(spark, grow_dimensions(old.dims, stage), version)
-        write_snapshots(fact_snapshots(stage, dims), f"{version}/inventory_snapshots")
-        new = _read(spark, version, "inventory_snapshots")
-        span = new.agg(F.min("snapshot_date").alias("low"), F.max("snapshot_date").alias("high")).first()
-        known = old.prices.filter(F.col("effective_date").between(F.lit(span.low), F.lit(span.high)))
-        write_table(price_history(stage, dims["regions"]).subtract(known), f"{version}/price_history")
-        months = old.months.unionByName(month_table(new)).groupBy(MONTH).agg(
-            F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.sum("rows").alias("rows")
-        )
-        write_table(months.coalesce(1), f"{version}/snapshot_months")
-        touched = old.snap.filter(F.col(MONTH).between(F.trunc(F.lit(span.low), "MM"), F.trunc(F.lit(span.high), "MM")))
-        star = _open(spark, version, [*old.parts, version])
-        added = {"inventory_snapshots": touched.unionByName(new), "price_history": _read(spark, version, "price_history")}
-        assert_integrity({**star.dims, **added})
-    except Exception:
-        drop_path(spark, version)
-        raise
-    _publish(spark, path, version, [*old.parts, version])
-    return star
-
-
-def _stage(spark: SparkSession, raw: DataFrame, version: str, unreadable: str) -> DataFrame:
-    """Raw rows and their rejects, written; gives back the rows that can be read."""
-    staged = raw.select(*RAW.names, *([CORRUPT] if CORRUPT in raw.columns else []))
-    write_table(staged, f"{version}/raw")
-    stage = spark.read.schema(staged.schema).parquet(f"{version}/raw")
-    write_table(rejects(stage), f"{version}/rejects")
-    if CORRUPT in stage.columns:
-        if unreadable == "refuse":
-            bad = read_table(spark, f"{version}/rejects", REJECTS).filter(F.col("reason") == UNREADABLE).count()
-            if bad:
-                raise UnreadableError(f"{bad} raw rows hold unreadable values; unreadable='set_aside' loads the others")
-        stage = stage.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    return stage
-
-
-def _write_dimensions(spark: SparkSession, dims: Mapping[str, DataFrame], version: str) -> dict[str, DataFrame]:
-    for name, df in dims.items():
-        write_table(df.select(*_columns(name)), f"{version}/{name}")
-    return {name: _read(spark, version, name) for name in dims}
-
-
-def _write_star(spark: SparkSession, raw: DataFrame, version: str, unreadable: str) -> Star:
-    """Raw rows are staged once; narrow scans of the stage feed the rejects, the dimensions, the fact."""
-    stage = _stage(spark, raw, version, unreadable)
-    dims = _write_dimensions(spark, build_dimensions(stage), version)
-    write_snapshots(fact_snapshots(stage, dims), f"{version}/inventory_snapshots")
-    write_table(price_history(stage, dims["regions"]), f"{version}/price_history")
-    write_table(month_table(_read(spark, version, "inventory_snapshots")).coalesce(1), f"{version}/snapshot_months")
-    return _open(spark, version, [version])
-
-
-def _open(spark: SparkSession, version: str, parts: list[str]) -> Star:
-    """Dimensions of ``version`` with the snapshots and prices of all ``parts``."""
-
-    def all_parts(name: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [_read(spark, part, name) for part in parts])
-
-    return Star(
-        raw=_read(spark, version, "raw") if has_path(spark, f"{version}/raw") else None,
-        snap=all_parts("inventory_snapshots"),
-        dims={name: _read(spark, version, name) for name in DIMENSIONS},
-        prices=all_parts("price_history"),
-        months=_read(spark, version, "snapshot_months"),
-        rejects=_read(spark, version, "rejects"),
-        path=version,
-        parts=tuple(parts),
-    )
-
-
-def read_star(spark: SparkSession, path: str) -> Star:
-    """Open the tables that the last good load or append under ``path`` published."""
-    marker = read_table(spark, f"{path}/current", MARKER).first()
-    return _open(spark, marker.version, marker.parts)
-
-
-REJECTS = "line string, reason string"
-OTHERS = {"rejects": REJECTS, "snapshot_months": f"{MONTH} date, first_day date, last_day date, rows bigint"}
-
-
-def _schema(name: str) -> str:
-    if name == "raw":
-        return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RAW)
-    if name in OTHERS:
-        return OTHERS[name]
-    return STAR[name] + (f", {MONTH} date" if name == "inventory_snapshots" else "")
-
-
-def _columns(name: str) -> list[str]:
-    return [column.split()[0] for column in STAR[name].split(", ")]
-
-
-def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return read_table(spark, f"{path}/{name}", _schema(name))
-

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (
     INCONSISTENCY_BOUNDS, INCONSISTENCY_LABELS, INCONSISTENCY_MONTHS, LEAD_DAYS, LOW_STOCK,
     RISK_BOUNDS, RISK_LABELS, SAFETY_Z, STOCKOUT_BOUNDS, STOCKOUT_LABELS,
 )
-from ..functions import label_ladder, mean_of, moment_sums, pop_sd, quotient, rnd
-from ..operators import series_stats, with_regions
+from ..functions import label_ladder, mean_of, moment_names, moment_sums, pop_sd, quotient, rnd
+from ..operators import with_regions
 from ..operators.regions import region_keys, with_products
 from ..schema import SERIES
 from .load import MONTH
+from .rollup import measured
 from .stock import named, safety_days
 
 Dims = Mapping[str, DataFrame]
@@ -27,18 +28,22 @@ def stockout_risk(
 ) -> DataFrame:
     """Share of a series' days at or below its own reorder point, which is rounded to cents.
 
-    Statistics are reduced to a row per series and joined back to two narrow columns of its days:
-    in place where they fit a broadcast, else by one shuffle in which the days stream past their
-    single matching row. No series can outgrow a task: the snapshot key, checked at load, allows
-    one row per day, whatever share of the table a store or a product holds.
+    The fact is read once and reduced to a cell per series and level: its days and sales moments. The
+    moments of a series are window sums over its cells; then the days of the cells at or below the
+    point add up. No series can outgrow a task: the snapshot key, checked at load, allows one row per
+    day, whatever share of the table a store or a product holds.
     """
-    point = rnd(
-        F.col("avg_sold") * lead_days + F.lit(z) * F.col("sd_sold") * safety_days(lead_days, horizon), 2
+    cells = snap.groupBy(*SERIES, "inventory_level").agg(
+        F.count(F.lit(1)).alias("days"), *moment_sums(F.col("units_sold"), "sold")
     )
-    points = series_stats(snap, {}).select(*SERIES, point.alias("point"))
-    rows = snap.select(*SERIES, "inventory_level").join(points, SERIES).groupBy(*SERIES).agg(
-        F.count_if(F.col("inventory_level") <= F.col("point")).alias("low_inventory_days"),
-        F.count(F.lit(1)).alias("total_days"),
+    series = Window.partitionBy(*SERIES)
+    cells = cells.select(
+        *SERIES, "inventory_level", "days", *[F.sum(m).over(series).alias(m) for m in moment_names("sold")]
+    )
+    point = rnd(mean_of("sold") * lead_days + F.lit(z) * pop_sd("sold") * safety_days(lead_days, horizon), 2)
+    low = F.coalesce(F.col("inventory_level") <= point, F.lit(False))
+    rows = cells.groupBy(*SERIES).agg(
+        F.sum(F.when(low, F.col("days")).otherwise(0)).alias("low_inventory_days"), F.sum("days").alias("total_days")
     )
     # the final sort runs its input twice, once to sample it; this keeps the join out of that
     rows = rows.repartition("store_id", "product_id")
@@ -61,10 +66,8 @@ def stockout_rate(
     bounds: tuple[float, float] = STOCKOUT_BOUNDS,
 ) -> DataFrame:
     """Share of days without inventory; labelled on the unrounded share."""
-    rows = snap.groupBy("store_id", "product_id", *region_keys(region_via)).agg(
-        F.count_if(F.col("inventory_level") == 0).alias("Stockout_Days"),
-        F.count(F.lit(1)).alias("Total_Days"),
-    )
+    rows = measured(snap, ["store_id", "product_id", *region_keys(region_via)], ["empty_days", "days"])
+    rows = rows.withColumnsRenamed({"empty_days": "Stockout_Days", "days": "Total_Days"})
     share = quotient(F.col("Stockout_Days"), F.col("Total_Days"))
     label = label_ladder(
         share,

@@ -13,12 +13,12 @@ from ..constants import (
     SAFETY_Z, SEASONAL_STATUS,
 )
 from ..functions import (
-    label_ladder, mean_of, moment_names, moment_sums, month_index, month_label, pop_sd, quotient, rnd,
-    week_of_year,
+    label_ladder, mean_of, moment_names, moment_sums, moments, month_label, pop_sd, quotient, rnd, week_of_year,
 )
-from ..operators import latest_by, latest_with_ties, series_stats, with_region_name
+from ..operators import with_region_name
 from ..operators.regions import with_products
 from ..schema import SERIES
+from .rollup import measured, month_of
 
 Dims = Mapping[str, DataFrame]
 
@@ -38,16 +38,13 @@ def named(df: DataFrame, dims: Dims) -> DataFrame:
 
 def current_stock(snap: DataFrame, dims: Dims) -> DataFrame:
     """Latest row of every (store, region, product)."""
-    latest = latest_by(snap, SERIES, "snapshot_date", {
-        "Current_Stock": "inventory_level",
-        "current_price": "current_price",
-        "Last_Sales": "units_sold",
-    })
+    latest = measured(snap, SERIES, ["last_level", "last_price", "last_sold"])
     return (
         named(latest, dims)
         .select(
             "store_id", "region_name", "category", "product_id",
-            "Current_Stock", "current_price", "Last_Sales",
+            F.col("last_level").alias("Current_Stock"), F.col("last_price").alias("current_price"),
+            F.col("last_sold").alias("Last_Sales"),
         )
         .orderBy("store_id", "region_name", "category", "product_id")
     )
@@ -69,8 +66,10 @@ def reorder_points(
 
     The status compares with the unrounded reorder point.
     """
-    sold = F.when(F.col("units_sold") >= 0, F.col("units_sold"))
-    stats = series_stats(snap, {"current_stock": "inventory_level"}, sold).filter(F.col("days") >= min_obs)
+    stats = measured(snap, SERIES, ["last_level", *moment_names("sale")]).filter(F.col("sale_n") >= min_obs)
+    stats = stats.select(
+        *SERIES, F.col("last_level").alias("current_stock"), mean_of("sale").alias("avg_sold"), pop_sd("sale").alias("sd_sold")
+    )
     demand = F.col("avg_sold") * lead_days
     safety = F.lit(z) * F.col("sd_sold") * safety_days(lead_days, horizon)
     rows = stats.withColumn("point", demand + safety).withColumn(
@@ -170,9 +169,7 @@ def average_stock_level(snap: DataFrame, dims: Dims) -> DataFrame:
 
     Products are summed up before their category is looked up, so the lookup never sees the fact.
     """
-    products = snap.groupBy(
-        "store_id", "product_id", month_index(F.col("snapshot_date")).alias("month")
-    ).agg(F.sum("inventory_level").alias("level_sum"), F.count("inventory_level").alias("level_n"))
+    products = measured(snap, ["store_id", "product_id", month_of(snap)], ["level_sum", "level_n"])
     rows = with_products(products, dims).groupBy("store_id", "category", "month").agg(
         F.sum("level_sum").alias("level_sum"), F.sum("level_n").alias("level_n")
     )
@@ -194,26 +191,32 @@ def stock_adjustment(
 ) -> DataFrame:
     """Latest stock of a store's product against its weekly sales, over the full history.
 
+    The fact is read once and reduced to a cell per store, product, region and week. Totals of a week,
+    their moments and the newest day are window sums over the cells, which one shuffle brings together.
+
     Every region present on the latest day gives a row; regions are not printed, so rows may repeat.
     """
-    day = F.col("snapshot_date")
-    weeks = snap.groupBy(
-        "store_id", "product_id", F.year(day).alias("year"), week_of_year(day).alias("week")
-    ).agg(F.sum("units_sold").alias("sold"))
-    stats = weeks.groupBy("store_id", "product_id").agg(*moment_sums(F.col("sold"), "sold")).select(
-        "store_id", "product_id",
-        mean_of("sold").alias("weekly"), F.coalesce(pop_sd("sold"), F.lit(0.0)).alias("sd"),
+    pair, day = ["store_id", "product_id"], F.col("snapshot_date")
+    cells = snap.groupBy(*pair, "region_id", F.year(day).alias("year"), week_of_year(day).alias("week")).agg(
+        F.sum("units_sold").alias("part_sold"), F.max("snapshot_date").alias("last"),
+        F.max_by("inventory_level", "snapshot_date").alias("current_stock"),
     )
-    latest = latest_with_ties(
-        snap, ["store_id", "product_id"], ["region_id"], "snapshot_date",
-        {"current_stock": "inventory_level"},
+    week, whole = Window.partitionBy(*pair, "year", "week"), Window.partitionBy(*pair)
+    cells = cells.repartition(*pair)  # serves both windows
+    # a week's total counts once, on the cell of its first region
+    first = F.row_number().over(week.orderBy("region_id")) == 1
+    cells = cells.withColumn("sold", F.when(first, F.sum("part_sold").over(week)))
+    sums = [m.over(whole).alias(name) for m, name in zip(moments(F.col("sold")), moment_names("sold"))]
+    latest = cells.select("*", F.max("last").over(whole).alias("newest"), *sums).filter(F.col("last") == F.col("newest"))
+    rows = latest.select(
+        *pair, "region_id", "current_stock",
+        mean_of("sold").alias("weekly"), F.coalesce(pop_sd("sold"), F.lit(0.0)).alias("sd"),
     )
     stock, point = F.col("current_stock"), F.col("weekly") + F.lit(z) * F.col("sd")
     order_more, reduce_stock, hold = ADJUSTMENT_LABELS
     advice = (
         F.when(stock < point, order_more).when(stock > reduce_factor * point, reduce_stock).otherwise(hold)
     )
-    rows = latest.join(stats, ["store_id", "product_id"])
     return (
         with_products(rows, dims)
         .withColumn("adjustment_recommendation", advice)

@@ -9,17 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SUMMARY_LABELS, TREND_DOWN, TREND_LABELS, TREND_MONTHS, TREND_UP
-from ..functions import mean_of, month_index, rnd
+from ..functions import mean_of, rnd
 from ..operators import trailing_months
 from ..operators.regions import with_products
+from .rollup import measured, month_of
 
 KEYS = ["store_id", "product_id"]
 
 
 def _trends(snap: DataFrame, months: int, up: float, down: float) -> DataFrame:
-    sales = snap.groupBy(*KEYS, month_index(F.col("snapshot_date")).alias("month")).agg(
-        F.sum("units_sold").alias("sold")
-    )
+    sales = measured(snap, [*KEYS, month_of(snap)], ["sold_sum"]).withColumnRenamed("sold_sum", "sold")
     total, seen = trailing_months(KEYS, "month", "sold", months)
     sales = sales.withColumns({"before_sum": total, "before_n": seen})
     # sold against factor * mean, both multiplied by the number of months: exact at a tie

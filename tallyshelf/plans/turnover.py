@@ -4,34 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import GROWTH, PERIOD_DAYS, TURNOVER_HIGH, TURNOVER_LABELS, TURNOVER_MODERATE
-from ..functions import label_ladder, mean_of, month_index, month_label, quotient, rnd
+from ..functions import label_ladder, mean_of, month_label, quotient, rnd
 from ..operators import replenishments, with_regions
 from ..operators.regions import region_keys
 from ..schema import SERIES
 from ..sources.clean import clean_text, parse_month
+from .rollup import measured, month_of
 from .stock import named
 
 Dims = Mapping[str, DataFrame]
 
 
-def _month() -> Column:
-    return month_index(F.col("snapshot_date")).alias("month")
-
-
 def monthly_turnover(
     snap: DataFrame, dims: Dims, *, high: float = TURNOVER_HIGH, moderate: float = TURNOVER_MODERATE,
     period_days: int = PERIOD_DAYS,
 ) -> DataFrame:
     """Units sold over average inventory per month and series; labelled on the rounded ratio."""
-    totals = snap.groupBy(_month(), *SERIES).agg(
-        F.sum("units_sold").alias("Total_Units_Sold"),
-        F.sum("inventory_level").alias("level_sum"),
-        F.count("inventory_level").alias("level_n"),
-    )
+    totals = measured(snap, [month_of(snap), *SERIES], ["sold_sum", "level_sum", "level_n"])
+    totals = totals.withColumnRenamed("sold_sum", "Total_Units_Sold")
     ratio = quotient(F.col("Total_Units_Sold"), mean_of("level"))
     rounded = rnd(ratio, 2)
     label = label_ladder(
@@ -78,7 +72,7 @@ def sell_through_region_month(
         )
     # the label is made from an aggregate: a filter on it then stays on the monthly rows, where a
     # filter on the grouping key would be pushed down and format every day of the fact
-    months = days.groupBy("region_id", _month()).agg(
+    months = days.groupBy("region_id", month_of(days)).agg(
         F.sum("sold").alias("sold"), F.sum("level").alias("level_sum"), F.count("level").alias("level_n"),
         F.max("snapshot_date").alias("last_day"),
     )
@@ -105,9 +99,8 @@ def sell_through_store_month(
     snap: DataFrame, dims: Dims, *, region_via: str = "store_regions",
 ) -> DataFrame:
     """Monthly sell-through of a store against its largest inventory, shown for each region."""
-    months = snap.groupBy(_month(), "store_id", *region_keys(region_via)).agg(
-        F.sum("units_sold").alias("sold"), F.max("inventory_level").alias("level")
-    )
+    months = measured(snap, [month_of(snap), "store_id", *region_keys(region_via)], ["sold_sum", "level_max"])
+    months = months.withColumnsRenamed({"sold_sum": "sold", "level_max": "level"})
     return (
         with_regions(months, dims, region_via)
         .orderBy("month", "region_name", "store_id")
@@ -129,9 +122,14 @@ def inventory_age(
 
     A level is compared with the row before, regions of one day in order of their name, whatever ids
     the loads gave them; without ``dims`` in order of the id. Products never replenished are left out.
+    Rows carry the place of their region's name, a number, not the name.
     """
-    tie = "region_id" if dims is None else "region_name"
-    rows = snap if dims is None else snap.join(dims["regions"], "region_id")
+    tie = "region_id" if dims is None else "region_rank"
+    rows = snap
+    if dims is not None:
+        rank = F.row_number().over(Window.orderBy("region_name"))  # a row a region
+        ranks = dims["regions"].select("region_id", rank.alias("region_rank"))
+        rows = snap.select("snapshot_date", "store_id", "product_id", "region_id", "inventory_level").join(ranks, "region_id")
     rows = replenishments(rows, ["store_id", "product_id"], tie, growth)
     age = F.datediff("latest_date", "last_replenishment")
     return (
@@ -150,10 +148,8 @@ def inventory_age(
 
 def dead_stock(snap: DataFrame) -> DataFrame:
     """Share of days without a sale per store and product; shown where it does not round to 0."""
-    rows = snap.groupBy("store_id", "product_id").agg(
-        F.count(F.lit(1)).alias("Total_Days"),
-        F.count_if(F.col("units_sold") == 0).alias("Zero_Sales_Days"),
-    )
+    rows = measured(snap, ["store_id", "product_id"], ["days", "idle_days"])
+    rows = rows.withColumnsRenamed({"days": "Total_Days", "idle_days": "Zero_Sales_Days"})
     rate = rnd(quotient(F.col("Zero_Sales_Days"), F.col("Total_Days")) * 100, 2)
     return (
         rows.withColumn("Dead_Stock_Rate_Percent", rate)

@@ -11,13 +11,15 @@ from ..schema import RAW
 # The text that stands for NULL in the file, and the column flagging bad lines.
 NULL_TOKEN = "\\N"
 CORRUPT = "_corrupt_record"
+#: Where a line was read: its file, and the first byte of the block a task read it from.
+FILE, BLOCK = "_file", "_block"
 
 
 def read_raw_csv(spark: SparkSession, path: str | list[str], *, multi_line: bool = False) -> DataFrame:
     """Read raw rows by position, skipping the header line of each file.
 
     A value that does not fit its column becomes NULL and the line is kept in ``_corrupt_record``.
-    An empty text stays an empty text. ``multi_line`` allows line breaks inside quotes at the price
+    ``_file`` and ``_block`` tell where it was read. An empty text stays an empty text. ``multi_line`` allows line breaks inside quotes at the price
     of one task per file.
     """
     texts = T.StructType(
@@ -29,7 +31,8 @@ def read_raw_csv(spark: SparkSession, path: str | list[str], *, multi_line: bool
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
-    return typed(lines)
+    origin = F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK)
+    return typed(lines.select("*", *origin))
 
 
 def typed(lines: DataFrame) -> DataFrame:
@@ -44,6 +47,7 @@ def typed(lines: DataFrame) -> DataFrame:
     return lines.select(
         *[v.alias(f.name) for f, v in zip(RAW, values)],
         F.coalesce(F.col(CORRUPT), F.when(misfit, line)).alias(CORRUPT),
+        *[c for c in (FILE, BLOCK) if c in lines.columns],
     )
 
 

@@ -58,7 +58,6 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-
 def _file_system(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
@@ -75,6 +74,19 @@ def has_path(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders and files in a folder; none if it is not there."""
+    files, place = _file_system(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
+def rename_path(spark: SparkSession, old: str, new: str) -> bool:
+    """Give a folder its final name in one step; False if that name is taken."""
+    files, place = _file_system(spark, old)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new)
+    return not files.exists(target) and files.rename(place, target)
+
+
 def stamp(spark: SparkSession, paths: Sequence[str]) -> tuple:
     """Size and time of each table, through the file system that Spark reads it by."""
     found = []
