@@ -6,9 +6,9 @@ CTEs and ends in the report. Only the derivation of the raw rows is shared with
 
 from __future__ import annotations
 
-from ..sources.tpch import RAW_SQL, TABLES
+from ..sources.tpch import RAW_SQL, TABLES, raw_sizes
 
-RAW = RAW_SQL.format(**{name: name for name in TABLES})
+RAW = RAW_SQL.format(**{name: name for name in TABLES}, **raw_sizes())
 
 STAR = f"""
 raw AS ({RAW}),
@@ -615,4 +615,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "status_pivot": _status_pivot(),
         "issue_heatmap": _issue_heatmap(),
+        "issue_map": with_star(
+            """SELECT region, STRING_AGG(store_id || '=' || issues, ',' ORDER BY store_id) AS Issues_By_Store
+               FROM (SELECT region, store_id, COUNT(*) FILTER (stock_status <> 'Adequate Stock') AS issues
+                     FROM statuses GROUP BY ALL) GROUP BY region""", BOARD
+        ),
     }

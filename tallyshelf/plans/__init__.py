@@ -1,5 +1,5 @@
 from .boards import (
-    issue_heatmap, kpi_traffic_lights, last_months, monthly_kpis, product_store_map,
+    issue_heatmap, issue_map, kpi_traffic_lights, last_months, monthly_kpis, product_store_map,
     product_store_matrix, product_store_status, status_counts, status_pivot,
 )
 from .load import (
@@ -24,7 +24,7 @@ __all__ = [
     "ConflictError", "Star", "UnreadableError", "append_star", "average_stock_level", "bridge_store_regions", "build_dimensions",
     "clean_region_month", "compact_star", "current_stock", "dead_stock", "demand_trend", "dim_products",
     "dim_promotions", "dim_regions", "dim_seasons", "dim_stores", "dim_weather", "fact_snapshots",
-    "grow_dimensions", "inventory_age", "issue_heatmap",
+    "grow_dimensions", "inventory_age", "issue_heatmap", "issue_map",
     "kpi_traffic_lights", "last_months", "load_star", "low_stock_alerts", "monthly_kpis", "monthly_trend",
     "monthly_turnover", "price_history", "product_store_map",
     "product_store_matrix", "product_store_status", "read_star", "reject_counts", "rejects", "reorder_points", "seasonal_demand", "seasonal_reorder_points",

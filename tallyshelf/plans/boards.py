@@ -110,8 +110,17 @@ def status_pivot(counts: DataFrame) -> DataFrame:
     return wide.orderBy("store_id", "region")
 
 
+def _issues(pivot: DataFrame) -> DataFrame:
+    issues = sum((F.col(f"`{s}`") for s in BOARD_STATUS[1:3]), F.col(f"`{BOARD_STATUS[0]}`"))
+    return pivot.select("region", "store_id", issues.alias("Total_Issues"))
+
+
+def issue_map(pivot: DataFrame) -> DataFrame:
+    """``issue_heatmap`` as one map per region, store to issues, for any number of stores."""
+    cells = F.sort_array(F.collect_list(F.struct("store_id", "Total_Issues")))
+    return _issues(pivot).groupBy("region").agg(F.map_from_entries(cells).alias("Issues_By_Store"))
+
+
 def issue_heatmap(pivot: DataFrame, stores: Sequence[str]) -> DataFrame:
     """Products not in adequate stock: regions as rows, stores as columns, 0 where there is none."""
-    issues = sum((F.col(f"`{s}`") for s in BOARD_STATUS[1:3]), F.col(f"`{BOARD_STATUS[0]}`"))
-    wide = pivot.select("region", "store_id", issues.alias("Total_Issues"))
-    return pivot_fixed(wide, ["region"], "store_id", stores, "Total_Issues", 0).orderBy("region")
+    return pivot_fixed(_issues(pivot), ["region"], "store_id", stores, "Total_Issues", 0).orderBy("region")

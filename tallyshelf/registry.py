@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import plans as P
@@ -135,14 +135,15 @@ def raw_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return read_raw_csv(spark, path).select(*rows.columns)
 
 
+def _map_text(column: str) -> Column:
+    """A map as text, in the order of its entries."""
+    cells = F.transform(F.map_entries(column), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return F.concat_ws(",", cells).alias(column)
+
+
 def product_store_cells(star: Star) -> DataFrame:
     """The store map of each product as text, stores in order."""
-    cells = F.transform(
-        F.map_entries("Status_By_Store"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
-    )
-    return P.product_store_map(P.product_store_status(star.snap)).select(
-        "product_id", F.concat_ws(",", cells).alias("Status_By_Store")
-    )
+    return P.product_store_map(P.product_store_status(star.snap)).select("product_id", _map_text("Status_By_Store"))
 
 
 def _store_ids(star: Star) -> list[str]:
@@ -210,4 +211,7 @@ def queries() -> dict[str, Query]:
         "issue_heatmap": _report(
             lambda s: P.issue_heatmap(P.status_pivot(_status_counts(s)), _store_ids(s))
         ),
+        "issue_map": _report(
+            lambda s: P.issue_map(P.status_pivot(_status_counts(s))).select("region", _map_text("Issues_By_Store"))
+        ),
     }

@@ -10,7 +10,7 @@ TABLES = ("lineitem", "supplier", "nation", "region", "part")
 # and DuckDB share, so the text gives the same rows in both.
 RAW_SQL = """
 WITH lines AS (
-  SELECT CAST(l_shipdate AS DATE) AS d, l_suppkey % 5 AS st, l_partkey % 20 AS pk,
+  SELECT CAST(l_shipdate AS DATE) AS d, l_suppkey % {stores} AS st, l_partkey % {products} AS pk,
          r_name, r_regionkey, l_orderkey, l_linenumber, l_returnflag, l_discount, p_retailprice,
          CAST(l_quantity AS BIGINT) AS q
   FROM {lineitem}
@@ -28,8 +28,8 @@ WITH lines AS (
   GROUP BY d, st, pk, r_name, r_regionkey
 )
 SELECT d AS Date,
-       CONCAT('S', LPAD(CAST(st + 1 AS STRING), 3, '0')) AS Store_ID,
-       CONCAT('P', LPAD(CAST(pk + 1 AS STRING), 4, '0')) AS Product_ID,
+       CONCAT('S', LPAD(CAST(st + 1 AS STRING), {store_digits}, '0')) AS Store_ID,
+       CONCAT('P', LPAD(CAST(pk + 1 AS STRING), {product_digits}, '0')) AS Product_ID,
        CONCAT('CAT', CAST(pk % 5 + 1 AS STRING)) AS Category,
        r_name AS Region,
        CAST(CASE WHEN pk % 4 = 3 THEN h % (100 + 45 * pk) + 1
@@ -54,7 +54,15 @@ def table_paths(folder: str) -> list[str]:
     return [f"{folder.rstrip('/')}/{name}.parquet" for name in TABLES]
 
 
-def raw_from_orders(spark: SparkSession, folder: str) -> DataFrame:
+def raw_sizes(stores: int = 5, products: int = 20) -> dict[str, int]:
+    """What ``RAW_SQL`` takes besides the tables: how many stores and products the lines are dealt to."""
+    return {
+        "stores": stores, "products": products,
+        "store_digits": max(3, len(str(stores))), "product_digits": max(4, len(str(products))),
+    }
+
+
+def raw_from_orders(spark: SparkSession, folder: str, stores: int = 5, products: int = 20) -> DataFrame:
     """Raw rows from the order tables in ``folder``."""
     tables = {n: spark.read.parquet(p) for n, p in zip(TABLES, table_paths(folder))}
-    return spark.sql(RAW_SQL, **tables)
+    return spark.sql(RAW_SQL, **tables, **raw_sizes(stores, products))
