@@ -61,7 +61,11 @@ def test_plan_has_no_pair_products_and_no_python(spark, star, name):
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|EvalPython|InPandas|MapInArrow", plan)
 
 
-@pytest.mark.parametrize("name", sorted(set(REPORTS) - {"dim_products", "dims_incremental", "issue_map", "product_store_map"}))
+#: Texts and maps as results, and numbering, which draws at most 1,024 names as borders.
+NO_HASH = {"dim_products", "dim_regions", "dim_seasons", "dim_weather", "dims_incremental", "issue_map", "product_store_map"}
+
+
+@pytest.mark.parametrize("name", sorted(set(REPORTS) - NO_HASH))
 def test_aggregates_hash(spark, star, name):
     assert not re.search(r"\bSortAggregate|ObjectHashAggregate", plan_of(QUERIES[name](spark, SF)))
 
