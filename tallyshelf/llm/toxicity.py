@@ -24,6 +24,8 @@ from .words import word_hashes
 
 #: Longest triple, weight of a symbol it spans, and the power the likeness is taken to.
 SPAN, DECAY, POWER = 5, 0.7, 3
+#: Words a Python worker remembers with their likeness to every landmark.
+MEMO = 200_000
 #: Longer words are cut into pieces that overlap by half.
 PIECE = 32
 #: Landmarks, and those taken even if none is significant; bytes of a stem; standard errors between the
@@ -98,6 +100,33 @@ class Machine:
     slope: float
     shift: float
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+
+    def word_likeness(self, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """``likeness`` of distinct words with their hashes; those met first are remembered.
+
+        The memo lives as long as the machine, in a Python worker from task to task. It takes ``MEMO``
+        words at most; frequent words are met early, so it is not emptied.
+        """
+        known, place, rows = self.__dict__.setdefault(
+            "memo", (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, len(self.names)), np.float32))
+        )
+        at = np.searchsorted(known, keys)
+        hit = np.zeros(len(keys), bool)
+        inside = at < len(known)
+        hit[inside] = known[at[inside]] == keys[inside]
+        out = np.zeros((len(keys), len(self.names)), np.float32)
+        out[hit] = rows[place[at[hit]]]
+        new = np.flatnonzero(~hit)
+        part = self.likeness(data, begin[new], end[new])
+        out[new[:len(part)]] = part
+        added = new[:MEMO - len(known)]
+        if len(added):
+            place = np.insert(place, at[added], len(rows) + np.arange(len(added)))
+            self.memo = np.insert(known, at[added], keys[added]), place, np.concatenate([rows, out[added]])
+        return out
+
     def likeness(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """(words, landmarks): the kernel of each word with each landmark."""
         begin, end, word = pieces(begin, end)
@@ -125,10 +154,8 @@ class Machine:
         if not len(begin) or not self.names:
             return out
         # the hash needs words in order; empty ones stay in place
-        _, rows, inverse = np.unique(word_hashes(data, begin, end), return_index=True, return_inverse=True)
-        known = np.zeros((len(rows), len(self.names)), np.float32)
-        part = self.likeness(data, begin[rows], end[rows])
-        known[:len(part)] = part
+        keys, rows, inverse = np.unique(word_hashes(data, begin, end), return_index=True, return_inverse=True)
+        known = self.word_likeness(keys, data, begin[rows], end[rows])
         heads = np.cumsum(counts) - counts
         full = counts > 0
         for at in range(0, len(self.names), 16):  # a few landmarks at a time, for memory

@@ -124,3 +124,20 @@ def test_recall_and_precision_apart(tables):
     found = sum(p == t == 1 for p, t in rows)
     assert found >= 0.85 * sum(t for _, t in rows)
     assert found >= 0.5 * sum(p for p, _ in rows)
+
+
+def test_memo_changes_nothing_and_is_bounded(monkeypatch):
+    import pickle
+
+    monkeypatch.setattr(toxicity, "MEMO", 20)
+    texts = [" ".join(f"word{(i * j) % 41}" for j in range(1, 12)) + " idiot" * (i % 2) for i in range(60)]
+    own = machine([b"idiot", b"word4*"])
+    plain = []
+    for text in texts:
+        own.__dict__.pop("memo", None)
+        plain.append(own.text_likeness([text])[0])
+    own.__dict__.pop("memo", None)
+    kept = np.concatenate([own.text_likeness(texts[i:i + 7]) for i in range(0, 60, 7)])
+    assert np.array_equal(kept, np.array(plain))
+    assert len(own.memo[0]) == len(own.memo[2]) == 20 and np.all(np.diff(own.memo[0].astype(object)) > 0)
+    assert "memo" not in pickle.loads(pickle.dumps(own)).__dict__
