@@ -8,13 +8,13 @@ labelled word by word with forward-backward; its language is the one its words h
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +27,8 @@ SAMPLE_ROWS, SAMPLE_RUNS, RUN_WORDS = 400, 4, 32
 BUCKETS, LEXICON, SWITCHED = 1 << 16, 300, 0.4
 ORDERS = (2, 3, 4)
 EPOCHS, RATE, DECAY = 6, 0.15, 1e-6
-LETTER = re.compile(r"[^\W\d_]")
-HAS_LETTER = r"[\p{L}\p{Nl}\p{No}]"  # the same for Spark
+LETTER = regex.compile(r"\p{L}")
+HAS_LETTER = r"\p{L}"  # the same for Spark
 
 
 def word_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

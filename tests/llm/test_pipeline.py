@@ -90,9 +90,9 @@ def test_texts_without_any_label_are_kept(spark, folder):
     docs = spark.createDataFrame([(i, t, None, so, n) for i, t, _, so, n in corpus()], SCHEMA)
     kept = corpus_pipeline.language_id(spark, docs, folder).collect()
     assert sorted(r.doc_id for r in kept) == list(range(100)) and {r.lang for r in kept} == {None}
-    odd = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(["½ 2", "_ 3", "ß", "語", "٣"])], SCHEMA)
-    want = [i for i, t in enumerate(["½ 2", "_ 3", "ß", "語", "٣"]) if language.LETTER.search(t)]
-    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, odd, folder).collect()) == want
+    odd = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(["½ 2", "_ 3", "ß", "語", "٣", "Ⅷ 3²", "ʰ"])], SCHEMA)
+    # by Unicode category: numbers of any kind are no letters, modifier letters are
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, odd, folder).collect()) == [2, 3, 6]
 
 
 def test_nothing_but_the_plain_rows_comes_out(spark, folder):
