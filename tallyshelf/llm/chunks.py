@@ -99,9 +99,21 @@ def write_chunks(
     return documents.sparkSession.read.schema(SCHEMA).parquet(path)
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with every field allowed to be null."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    if pa.types.is_map(kind):
+        return pa.map_(_nullable(kind.key_type), _nullable(kind.item_type))
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, _nullable(kind.value_type)))
+    return kind
+
+
 def rest_of(blob: bytes) -> pa.ChunkedArray:
-    """The other columns of a chunk's rows, as structs."""
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().column("rest")
+    """The other columns of a chunk's rows, as structs whose fields may all be null."""
+    rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all().column("rest")
+    return rest.cast(_nullable(rest.type))
 
 
 def buckets_for(chunks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:

@@ -113,19 +113,20 @@ def mix_table(
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each row as often as the mix takes it; columns as given.
 
-    Rows that share an id and a source are taken as often as the least taken of them.
+    Rows that share an id and a source are taken as often as the least taken of them. The columns come
+    along as one struct, so that none of them, whatever its name, meets a name used here. Nulls, empty
+    and very long texts, repeated rows and empty tables are treated as by ``mix_table``.
     """
     id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
     times = mix_table(documents, **options).groupBy("doc_id", "source").agg(F.min("times").alias("_times"))
     times = times.filter(F.col("_times") > 0).select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "_times"
     )
-    joined = documents.join(
-        times,
-        F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("_src")),
-    )
-    repeated = joined.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in documents.columns])
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    own_id, own_source = F.col("_row").getField(id_col), F.col("_row").getField(source_col)
+    joined = rows.join(times, own_id.eqNullSafe(F.col("_id")) & own_source.eqNullSafe(F.col("_src")))
+    repeated = joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_epoch"))
+    return repeated.select(*[F.col("_row").getField(c).alias(c) for c in documents.columns])
 
 
 SQL = r"""
