@@ -13,12 +13,19 @@ from tallyshelf.sources.tables import cut_lineage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; a missing label is filled in if any could be learned. Texts without a letter go."""
+    """Documents with a language; a missing label is filled in if any could be learned.
+
+    Null texts and texts without a letter go, whether or not a label could be learned. Repeated rows and
+    ids stay, an empty table gives an empty one, and further columns of any name come along.
+    """
     field = language.train(language.training_rows(docs, "true"))
-    told = language.predict(docs, field, keep=docs.columns).toDF("_id", "_lang", "_score", *docs.columns)
-    told = told.filter(F.col("text").rlike(language.HAS_LETTER))  # whether or not a label could be learned
-    known = F.when(F.col("_lang") != language.UNKNOWN, F.col("_lang"))
-    return told.withColumn("lang", F.coalesce("lang", known)).select(*docs.columns)
+    given = [f"column {i}" for i in range(len(docs.columns))]  # no name of the input meets a name used here
+    told = language.predict(docs, field, keep=docs.columns).toDF("told id", "told", "told score", *given)
+    of = dict(zip(docs.columns, map(F.col, given)))
+    told = told.filter(of["text"].rlike(language.HAS_LETTER))
+    known = F.when(F.col("told") != language.UNKNOWN, F.col("told"))
+    of["lang"] = F.coalesce(of["lang"], known)
+    return told.select(*[column.alias(name) for name, column in of.items()])
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
