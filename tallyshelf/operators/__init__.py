@@ -3,17 +3,15 @@ from .integrity import (
     IntegrityError, assert_integrity, check_fk, check_not_null, check_unique, integrity_report,
     not_null_rule, unique_rule,
 )
-from .latest import latest_by, latest_with_ties
 from .numbering import numbered
 from .pivots import pivot_fixed, pivot_values
 from .regions import with_region_name, with_regions
-from .series import series_stats
 from .trailing import trailing_months
 from .upsert import insert_if_absent
 
 __all__ = [
     "IntegrityError", "assert_integrity", "check_fk", "check_not_null", "check_unique",
-    "insert_if_absent", "integrity_report", "latest_by", "latest_with_ties", "not_null_rule", "numbered",
-    "pivot_fixed", "pivot_values", "replenishments", "series_stats", "trailing_months",
+    "insert_if_absent", "integrity_report", "not_null_rule", "numbered",
+    "pivot_fixed", "pivot_values", "replenishments", "trailing_months",
     "unique_rule", "with_region_name", "with_regions",
 ]
