@@ -61,6 +61,7 @@ class Star:
     rollup: DataFrame
     rejects: DataFrame
     path: str
+    number: int
     version: str
     parts: tuple[str, ...]
 
@@ -106,8 +107,8 @@ def append_star(
 
 def read_star(spark: SparkSession, path: str) -> Star:
     """Open the tables that the newest marker under ``path`` names."""
-    marker = _marker(spark, path)
-    return _open(spark, path, marker.version, marker.parts)
+    number, marker = _marker(spark, path)
+    return _open(spark, path, number, marker.version, marker.parts)
 
 
 def compact_star(spark: SparkSession, path: str, *, since: int = 0) -> Star:
@@ -116,11 +117,11 @@ def compact_star(spark: SparkSession, path: str, *, since: int = 0) -> Star:
     ``since=1`` leaves a first big load alone. Earlier markers keep naming the old parts, so readers
     are not disturbed; ``vacuum_star`` removes them.
     """
-    marker = _marker(spark, path)
+    newest, marker = _marker(spark, path)
     merged = marker.parts[since:]
     if len(merged) < 2:
         return read_star(spark, path)
-    number, part = _next(spark, path)
+    number, part = _next(spark, path, newest)
     try:
         rows = _read_parts(spark, path, SNAPSHOTS, merged)
         written = _write_snapshots(rows.drop(MONTH), _folder(path, SNAPSHOTS, part))
@@ -146,11 +147,16 @@ def vacuum_star(spark: SparkSession, path: str, *, keep: int = 1) -> list[str]:
     """
     if keep < 1:
         raise ValueError("at least one marker must be kept")
-    numbers = _numbers(spark, path)
-    kept = [m for m in (_read_marker(spark, path, n) for n in numbers[:keep]) if m]
-    parts = {f"{PART}={p}" for m in kept for p in m.parts}
-    gone = [f"markers/{_name(n)}" for n in numbers[keep:]]
-    gone += [f"versions/{v}" for v in names_in(spark, f"{path}/versions") if v not in {m.version for m in kept}]
+    kept: dict[int, Row] = {}
+    for number in _numbers(spark, path):
+        if len(kept) < keep and (marker := _read_marker(spark, path, number)):
+            kept[number] = marker
+    if not kept:
+        raise FileNotFoundError(f"no star was published under {path}")
+    parts = {f"{PART}={p}" for m in kept.values() for p in m.parts}
+    versions = {m.version for m in kept.values()}
+    gone = [f"markers/{_name(n)}" for n in _numbers(spark, path) if n not in kept]
+    gone += [f"versions/{v}" for v in names_in(spark, f"{path}/versions") if v not in versions]
     for table in IN_PARTS:
         found = names_in(spark, f"{path}/{table}")
         gone += [f"{table}/{p}" for p in found if p.startswith(f"{PART}=") and p not in parts]
@@ -164,7 +170,7 @@ def _load(
 ) -> Star:
     if unreadable not in ("refuse", "set_aside"):
         raise ValueError(f"unreadable must be refuse or set_aside, not {unreadable}")
-    number, part = _next(spark, path)
+    number, part = _next(spark, path, old.number if old else None)
     try:
         stage = _stage(spark, normalize_keys(raw, KEY_COLUMNS) if fold_keys else raw, path, part, unreadable)
         with intermediates(spark):
@@ -195,7 +201,7 @@ def _load(
     except Exception:
         _drop_part(spark, path, part)
         raise
-    return _open(spark, path, part, parts)
+    return _open(spark, path, number, part, parts)
 
 
 def _stage(spark: SparkSession, raw: DataFrame, path: str, part: str, unreadable: str) -> DataFrame:
@@ -295,9 +301,13 @@ def _numbers(spark: SparkSession, path: str) -> list[int]:
     return sorted((int(n) for n in names_in(spark, f"{path}/markers") if n.isdigit()), reverse=True)
 
 
-def _next(spark: SparkSession, path: str) -> tuple[int, str]:
-    """Number of the next marker, and a new part named after it."""
-    number = max(_numbers(spark, path), default=-1) + 1
+def _next(spark: SparkSession, path: str, after: int | None = None) -> tuple[int, str]:
+    """Number of the next marker, and a new part named after it.
+
+    What builds on a marker goes ``after`` it: if another writer did the same, the number is taken when
+    it is to be published, and nothing that the other one added can get lost.
+    """
+    number = (max(_numbers(spark, path), default=-1) if after is None else after) + 1
     return number, f"{_name(number)}-{uuid.uuid4().hex[:12]}"
 
 
@@ -308,10 +318,11 @@ def _read_marker(spark: SparkSession, path: str, number: int) -> Row | None:
     return read_table(spark, f"{path}/markers/{_name(number)}", MARKER).first()
 
 
-def _marker(spark: SparkSession, path: str) -> Row:
+def _marker(spark: SparkSession, path: str) -> tuple[int, Row]:
+    """The newest marker that was written to its end, and its number."""
     for number in _numbers(spark, path):
         if marker := _read_marker(spark, path, number):
-            return marker
+            return number, marker
     raise FileNotFoundError(f"no star was published under {path}")
 
 
@@ -346,7 +357,7 @@ def _read_parts(spark: SparkSession, path: str, table: str, parts: Sequence[str]
     return reader.parquet(*[_folder(path, table, p) for p in parts]).select(*names)
 
 
-def _open(spark: SparkSession, path: str, version: str, parts: Sequence[str]) -> Star:
+def _open(spark: SparkSession, path: str, number: int, version: str, parts: Sequence[str]) -> Star:
     """Dimensions of ``version`` with the snapshots, prices, rejects and staged rows of all ``parts``."""
     own = _version(path, version)
     found = set(names_in(spark, f"{path}/raw"))
@@ -360,6 +371,7 @@ def _open(spark: SparkSession, path: str, version: str, parts: Sequence[str]) ->
         rollup=_read_parts(spark, path, ROLLUP, parts),
         rejects=_read_parts(spark, path, "rejects", parts),
         path=path,
+        number=number,
         version=version,
         parts=tuple(parts),
     )
