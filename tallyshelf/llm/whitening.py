@@ -9,6 +9,7 @@ with the scaled eigenvectors projects all rows.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -52,6 +53,15 @@ def _gram(matrix: BlockMatrix, splits: int) -> np.ndarray:
     return _product(matrix.transpose(), matrix, splits).toLocalMatrix().toArray()
 
 
+def _kept(matrix: BlockMatrix) -> BlockMatrix:
+    """Blocks that several products read: kept on the executors, rebuilt from the written rows if one is lost."""
+    return matrix.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _free(matrix: BlockMatrix) -> None:
+    matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
+
+
 def _block_matrix(rows: DataFrame, count: int, width: int) -> BlockMatrix:
     """Rows (index, vector) as blocks that hold every column."""
     vectors = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector("vector").alias("vector")), "vector")
@@ -97,19 +107,22 @@ def whitened(
         "index", F.zip_with("y", F.lit(total), lambda y, s: (y * n - s).cast("double") / n).alias("vector")
     )
     splits = max(1, -(-n // (BLOCK * SPLIT)))
-    matrix = _block_matrix(centred, n, width)
+    matrix = _kept(_block_matrix(centred, n, width))
     variance = _gram(matrix, splits) / n
     values, vectors = np.linalg.eigh((variance + variance.T) / 2)
     order = [i for i in np.argsort(-values, kind="stable") if values[i] > FLAT * max(np.trace(variance), 0.0)][:components]
     if not order:
+        _free(matrix)
         return empty
     scaled = vectors[:, order] / np.sqrt(values[order])
     small = Matrices.dense(width, len(order), scaled.T.ravel().tolist())
     weights = BlockMatrix(spark.sparkContext.parallelize([((0, 0), small)], 1), width, len(order))
-    projected = _product(matrix, weights, 1)
+    projected = _kept(_product(matrix, weights, 1))
     error = float(np.abs(_gram(projected, splits) / n - np.eye(len(order))).max())
     places = callMLlibFunc("getIndexedRows", projected.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
     places = cut_lineage(places.select("index", vector_to_array("vector").alias("whitened")), "whitened")
+    _free(projected)
+    _free(matrix)
     shares = F.array(*[F.lit(float(values[i] / np.trace(variance))) for i in order])
     exact = F.lit(n * n).cast("decimal(38,0)")
     own, cross = (
