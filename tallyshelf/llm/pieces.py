@@ -7,7 +7,6 @@ import hashlib
 import heapq
 import re
 import struct
-from array import array
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain
 from operator import itemgetter
@@ -33,6 +32,10 @@ def _each_byte(error: UnicodeDecodeError):
 codecs.register_error("each_byte", _each_byte)
 
 
+def _row_bytes(numbers) -> bytes:
+    return np.asarray(numbers, np.int32).tobytes()
+
+
 class CharMap:
     """The compiled normalisation map: a double-array trie over UTF-8 bytes and the texts it points to."""
 
@@ -99,8 +102,9 @@ class PieceModel:
         }
         self.length = [len(p) for p, _, _ in pieces]
         self._rank_pairs(len(pieces))
-        self.known: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        #: Words with their ids and the widths of their pieces, each as 32-bit numbers in a row.
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def _rank_pairs(self, count: int) -> None:
         """Every pair of pieces that joins to a piece, as sorted numbers, with its rank by score."""
@@ -147,9 +151,10 @@ class PieceModel:
             for i in np.flatnonzero(~usable).tolist():
                 self.known[alike[i]] = self.word_pieces(alike[i])
             for where, ids in self._merge_many(pieces[usable]):
-                names = np.flatnonzero(usable)[where].tolist()
-                for i, own, widths in zip(names, ids.tolist(), self.width[ids].tolist()):
-                    self.known[alike[i]] = tuple(own), tuple(widths)
+                own, widths, size = _row_bytes(ids), _row_bytes(self.width[ids]), 4 * ids.shape[1]
+                for at, i in enumerate(np.flatnonzero(usable)[where].tolist()):
+                    span = slice(at * size, (at + 1) * size)
+                    self.known[alike[i]] = own[span], widths[span]
         if len(self.known) >= CACHE_WORDS:
             self.known, self.older = {}, self.known
 
@@ -264,11 +269,9 @@ class PieceModel:
             offer(i)
         return [p for p in parts if p is not None]
 
-    def word_pieces(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Ids, and the source bytes each covers if a mark stands for a space."""
+    def word_pieces(self, word: str) -> tuple[bytes, bytes]:
+        """Ids, and the source bytes each covers if a mark stands for a space, as 32-bit numbers."""
         parts, single = self.merge(word), self.single
-        if all(p in single for p in parts):
-            return tuple(zip(*[single[p] for p in parts]))
         ids: list[int] = []
         widths: list[int] = []
         for part in parts:
@@ -283,7 +286,7 @@ class PieceModel:
                 else:
                     ids.append(self.unknown)
                     widths.append(len(data))
-        return tuple(ids), tuple(widths)
+        return _row_bytes(ids), _row_bytes(widths)
 
     def _words(self, names: list[str]) -> list:
         new, old, found = self.known, self.older, []
@@ -313,31 +316,28 @@ class PieceModel:
             normal, source = self.normalise(text)
         return self.word.findall(normal) if self.cuts else [normal] * bool(normal), source
 
-    def encode(self, text: str, end: bool = True) -> tuple[array, array, array]:
+    def encode(self, text: str, end: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the byte spans [begin, end) of the source each id stands for."""
         return self.encode_words(*self.prepare(text), end)
 
     def encode_words(
         self, names: list[str], source: list[int] | None, end: bool = True
-    ) -> tuple[array, array, array]:
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = self._words(names)
+        ids = np.frombuffer(b"".join(map(FIRST, words)), np.int32)
+        widths = np.frombuffer(b"".join(map(SECOND, words)), np.int32).astype(np.int64)
         if source is None:
-            widths = chain.from_iterable(map(SECOND, words))
-            if self.prefix and words:  # the mark put in front has no source
-                widths = chain((next(widths) - 1,), widths)
-            borders = array("q", accumulate(widths, initial=0))
+            if self.prefix and len(widths):  # the mark put in front has no source
+                widths[0] -= 1
+            borders = np.append(0, np.cumsum(widths))
         else:
-            places = accumulate(chain.from_iterable(self._characters(*w) for w in words), initial=0)
-            borders = array("q", (source[p] for p in places))
-        ids = array("i", chain.from_iterable(map(FIRST, words)))
-        begins, ends = borders[:-1], borders[1:]
+            places = accumulate(self._characters(ids.tolist(), widths.tolist()), initial=0)
+            borders = np.array([source[p] for p in places], np.int64)
         if end and self.end is not None:
-            ids.append(self.end)
-            begins.append(borders[-1])
-            ends.append(borders[-1])
-        return ids, begins, ends
+            ids, borders = np.append(ids, np.int32(self.end)), np.append(borders, borders[-1])
+        return ids, borders[:-1], borders[1:]
 
-    def encode_many(self, texts: list[str]) -> Iterator[tuple[array, array, array]]:
+    def encode_many(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         prepared = [self.prepare(text) for text in texts]
         self.learn(set(chain.from_iterable(map(FIRST, prepared))))
         return (self.encode_words(*p) for p in prepared)
@@ -351,6 +351,18 @@ class PieceModel:
         return data.decode("utf-8", "each_byte")
 
 
+_models: dict[str, PieceModel] = {}
+
+
+def model_of(blob: bytes) -> PieceModel:
+    """The model of a file's content with the words it met, kept by a Python worker from task to task."""
+    key = _digest(blob)
+    if key not in _models:
+        _models.clear()  # one model at a time
+        _models[key] = PieceModel(blob)
+    return _models[key]
+
+
 def encode_documents(
     documents: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text",
     rows_a_batch: int = 256,
@@ -386,9 +398,9 @@ COLUMNS = {
     "begins": ("array<bigint>", pa.list_(pa.int64()), lambda m, i, b, e: b),
     "ends": ("array<bigint>", pa.list_(pa.int64()), lambda m, i, b, e: e),
     "n_tokens": ("bigint", pa.int64(), lambda m, i, b, e: len(i)),
-    "ids_sha256": ("string", pa.string(), lambda m, i, b, e: _digest(" ".join(map(m.text_of.__getitem__, i)).encode())),
-    "decoded_sha256": ("string", pa.string(), lambda m, i, b, e: _digest(m.decode(i).encode("utf-8", "surrogatepass"))),
-    "n_bytes": ("bigint", pa.int64(), lambda m, i, b, e: e[-1] if e else 0),
+    "ids_sha256": ("string", pa.string(), lambda m, i, b, e: _digest(" ".join(map(m.text_of.__getitem__, i.tolist())).encode())),
+    "decoded_sha256": ("string", pa.string(), lambda m, i, b, e: _digest(m.decode(i.tolist()).encode("utf-8", "surrogatepass"))),
+    "n_bytes": ("bigint", pa.int64(), lambda m, i, b, e: int(e[-1]) if len(e) else 0),
 }
 
 
@@ -400,7 +412,7 @@ def _encoded(
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(blob.value)
+        model = model_of(blob.value)
         makers = [COLUMNS[n] for n in names]
         for batch in batches:
             for at in range(0, batch.num_rows, rows_a_batch):
@@ -427,7 +439,7 @@ def decode_documents(
     id_type = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        model = PieceModel(blob.value)
+        model = model_of(blob.value)
         for batch in batches:
             texts = [model.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
