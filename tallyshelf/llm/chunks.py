@@ -264,32 +264,48 @@ def runs_of(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.append(0, border + 1)[:len(starts)]], starts[np.append(border, len(starts) - 1)[:len(starts)]] + window
 
 
-def _shared_flags(bucket: int, sent: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
+def _widths(bucket: int, sent: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
     keys = [np.frombuffer(blob, np.uint32) for _, blob in sent]
     names, counts = np.unique(np.concatenate(keys), return_counts=True)
-    names = names[counts > 1]
+    names, width = names[counts > 1], bits_of(counts[counts > 1])
     head = np.uint32(bucket).tobytes()
-    return [(0, sender, head + np.packbits(is_in(own, names)).tobytes()) for (sender, _), own in zip(sent, keys)]
+    out = []
+    for (sender, _), own in zip(sent, keys):
+        shared = is_in(own, names)
+        spread = width[np.searchsorted(names, own[shared])]
+        out.append((0, sender, head + np.packbits(shared).tobytes() + spread.tobytes()))
+    return out
+
+
+def bits_of(counts: np.ndarray) -> np.ndarray:
+    """The number of bits of each positive count."""
+    return np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
 
 
-def flags_elsewhere(chunks: DataFrame, codes: Callable[[dict], np.ndarray]) -> DataFrame:
-    """Messages to each chunk: a bit for each of its sorted distinct codes, set if other chunks have it."""
+def widths_elsewhere(chunks: DataFrame, codes: Callable[[dict], np.ndarray]) -> DataFrame:
+    """Messages to each chunk, for ``sent_widths``: how many chunks have each of its sorted distinct codes."""
 
     def keys(chunk: dict) -> pa.Table:
         names = codes(chunk)
         buckets, short = (names >> np.uint64(32)).astype(np.int64), names.astype(np.uint32)
         return messages([(b, chunk["chunk"], short[s].tobytes()) for b, s in cuts(buckets)])
 
-    return per_bucket(each_chunk(chunks, keys, MESSAGE), _shared_flags)
+    return per_bucket(each_chunk(chunks, keys, MESSAGE), _widths)
 
 
-def sent_flags(names: np.ndarray, sent: list[bytes]) -> np.ndarray:
-    """The bits of ``flags_elsewhere`` for the chunk's sorted distinct codes."""
-    out = np.zeros(len(names), bool)
+def sent_widths(names: np.ndarray, sent: list[bytes]) -> np.ndarray:
+    """Bits of the number of chunks that have each of the chunk's sorted distinct codes, 0 if no other has it.
+
+    All chunks get the same answer for a code.
+    """
+    out = np.zeros(len(names), np.uint8)
     slices = dict(cuts((names >> np.uint64(32)).astype(np.int64)))
     for blob in sent:
         own = slices[int(np.frombuffer(blob[:4], np.uint32)[0])]
-        out[own] = np.unpackbits(np.frombuffer(blob[4:], np.uint8), count=own.stop - own.start)
+        many = own.stop - own.start
+        flags = np.frombuffer(blob[4:4 + -(-many // 8)], np.uint8)
+        shared = np.flatnonzero(np.unpackbits(flags, count=many)) + own.start
+        out[shared] = np.frombuffer(blob[4 + len(flags):], np.uint8)
     return out
 
 

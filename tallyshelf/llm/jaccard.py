@@ -5,7 +5,8 @@
 2. The sets left meet in blocks by a smallest hash. A block is an R-tree over count vectors; its pairs
    are verified, but only until the block hangs together.
 3. What is not connected then meets once more by each hash of its prefix, of which similar sets share
-   one. Pairs of different components that pass the bound of the tree are verified too.
+   one. Prefixes hold the rarest shingles: buckets answer in how many chunks a shingle is. Pairs of
+   different components that pass the bound of the tree are verified too.
 
 Equal sets count as one. Blocks are split by size, and a group of many gives a tree of links.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut_lineage
 from .anchors import mixed
 from .chunks import (
-    buckets_for, chunk_bytes_of, codes_of, flags_elsewhere, per_chunk, rest_of, sent_flags,
+    bits_of, buckets_for, chunk_bytes_of, codes_of, per_chunk, rest_of, sent_widths, widths_elsewhere,
     write_chunks,
 )
 from .components import component_roots
@@ -30,8 +31,8 @@ from .words import LOWER, word_borders, word_hashes
 SHINGLE, PERCENT = 5, 75
 #: Rounds of blocks by a smallest hash, sets of a block, and sets of a unit that needs no tree.
 ROUNDS, BLOCK, SMALL = 2, 512, 48
-#: Rows of prefix hashes that one task looks at together.
-TASK_ROWS = 32_768
+#: Rows of prefix hashes, and bytes of vectors at most, that one group looks at together.
+TASK_ROWS, TASK_BYTES = 32_768, 64 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,39 +149,57 @@ def _blocks(sets: DataFrame, percent: int) -> DataFrame:
     return full.groupBy("slot", "part").applyInArrow(link, "a bigint, b bigint")
 
 
-def unit_pairs(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+def prefixes_of(doc: np.ndarray, value: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of those of each set's rarest shingles that others have.
+
+    ``value`` is sorted within ``doc``. ``rank`` depends on the shingle only, up to 1 if one set has it.
+    Of two similar sets, the first n - ceil(n * percent / 100) + 1 shingles in this order share one.
+    """
+    order = np.lexsort((rank, doc))
+    doc, value, rank = doc[order], value[order], rank[order]
+    size = np.bincount(doc)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    held = (place <= (size + -size * percent // 100)[doc]) & (rank > 1)
+    return doc[held], value[held]
+
+
+def unit_pairs(units: pa.Table, points: pa.Table, percent: int) -> list[tuple[int, int]]:
     """Pairs of nodes of different components that share a unit and whose bound allows a link, once each.
 
-    A unit is a hash with two parts of the sets that have it; the rows hold several units.
+    A unit is a hash with two parts of the sets that have it; the rows hold several units. ``points``
+    has the count vector of each set once.
     """
-    token, i, j, part, node, root, size = (
-        np.array(table.column(c)) for c in ("token", "i", "j", "part", "node", "root", "size")
-    )
-    names, first, row = np.unique(node, return_index=True, return_inverse=True)
-    blobs = table.column("counts")
-    vectors = [unpacked(blobs[k].as_py(), int(size[k])) for k in first.tolist()]
-    size, root = size[first], root[first]
+    token, i, j, part, node = (np.array(units.column(c)) for c in ("token", "i", "j", "part", "node"))
+    names, root, size = (np.array(points.column(c)) for c in ("node", "root", "size"))
+    by_name = np.argsort(names)
+    names, root, size = names[by_name], root[by_name], size[by_name]
+    blobs = points.column("counts")
+    vectors = [unpacked(blobs[k].as_py(), int(n)) for k, n in zip(by_name.tolist(), size.tolist())]
+    row = np.searchsorted(names, node)
     order = np.lexsort((j, i, token))
     edge = np.flatnonzero(
         (np.diff(token[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
     ) + 1
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for rows in np.split(order, edge):
+    for rows in np.split(order, edge) if len(order) else []:
         own, at = row[rows], part[rows]
+        if (root[own] == root[own[0]]).all():
+            continue
         if len(own) <= SMALL:
             a, b = np.triu_indices(len(own), 1)
         else:
             pairs = [(k, f) for k, found in candidates([vectors[r] for r in own.tolist()], size[own], percent)
                      for f in found[found > k].tolist()]
             a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        apart = root[own[a]] != root[own[b]]
         if i[rows[0]] != j[rows[0]]:
-            cross = at[a] != at[b]
-            a, b = a[cross], b[cross]
-        left.append(np.minimum(own[a], own[b]))
-        right.append(np.maximum(own[a], own[b]))
-    left, right = np.divmod(np.unique(np.concatenate(left) * len(names) + np.concatenate(right)), len(names))
+            apart &= at[a] != at[b]
+        a, b = own[a[apart]], own[b[apart]]
+        left.append(np.minimum(a, b))
+        right.append(np.maximum(a, b))
+    left, right = np.divmod(np.unique(np.concatenate(left) * len(names) + np.concatenate(right)), max(len(names), 1))
     low, high = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
-    may = (root[left] != root[right]) & (100 * low >= percent * high)
+    may = 100 * low >= percent * high
     left, right = left[may], right[may]
     may = pair_bounds(vectors, left, right) >= needed(size[left], size[right], percent)
     return list(zip(names[left[may]].tolist(), names[right[may]].tolist()))
@@ -190,53 +209,70 @@ def _across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Links between sets that share a hash of their prefix but are in different components."""
     known = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    def prefixes(batches):
+    def tokens_of(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                own = _array(batch.column(2)[i].as_py())
-                part = own[:len(own) - -(-len(own) * percent // 100) + 1].view(np.int64)
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                own = [_array(b) for b in part.column("prefix").to_pylist()]
+                many = [len(p) for p in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part), *(pa.array(np.full(len(part), batch.column(k)[i].as_py())) for k in (0, 1))],
-                    names=["token", "node", "root"],
+                    [pa.array(np.concatenate(own).view(np.int64)),
+                     *(pa.array(np.repeat(np.array(part.column(c)), many)) for c in ("node", "root", "size"))],
+                    names=["token", "node", "root", "size"],
                 )
 
     tokens = cut_lineage(
-        known.select("node", "root", "shingles").mapInArrow(prefixes, "token bigint, node bigint, root bigint"), "tokens"
+        known.select("node", "root", "size", "prefix")
+        .mapInArrow(tokens_of, "token bigint, node bigint, root bigint, size bigint"), "tokens"
     )
-    mixed_tokens = tokens.groupBy("token").agg(
-        F.count(F.lit(1)).alias("many"), F.min("root").alias("low"), F.max("root").alias("high")
-    ).filter("low < high")
     parts = F.ceil(F.col("many") / BLOCK).cast("int")
-    spread = tokens.join(mixed_tokens, "token").select(
-        "token", "node", "root", "low", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")
+    mixed_tokens = cut_lineage(
+        tokens.groupBy("token").agg(
+            F.count(F.lit(1)).alias("many"), F.min("root").alias("low"), F.max("root").alias("high"),
+            F.sum("size").alias("weight"),
+        ).filter("low < high").select("token", "low", parts.alias("parts"), "many", "weight"),
+        "mixed",
     )
+    # hashes with the same smallest component mostly hold the same pairs, so they go to one group; a
+    # component that comes with very many of them to several. These are few: one for TASK_ROWS rows or
+    # TASK_BYTES at most
+    shares = cut_lineage(
+        mixed_tokens.groupBy("low").agg(F.greatest(
+            F.ceil(F.sum(F.col("many") * F.col("parts")) / TASK_ROWS),
+            F.ceil(F.sum(2 * F.col("weight") * F.col("parts")) / TASK_BYTES),
+        ).alias("shares")).filter("shares > 1"),
+        "shares",
+    )
+    dealt = mixed_tokens.join(shares, "low", "left").select(
+        "token", "low", "parts", F.coalesce("shares", F.lit(1)).alias("shares")
+    )
+    spread = tokens.join(dealt, "token").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     # every two parts of a large group meet once
     units = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root", "low"
+        "low", "shares", "token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node"
     )
-    # hashes with the same smallest component mostly hold the same pairs, so they go to one task; a
-    # component that comes with very many of them to several
-    shares = mixed_tokens.groupBy("low").agg(
-        F.ceil(F.sum(F.col("many") * F.ceil(F.col("many") / BLOCK)) / TASK_ROWS).alias("shares")
+    units = cut_lineage(
+        units.withColumn("share", F.pmod(F.xxhash64("token", "i", "j"), "shares")).drop("shares"), "units"
     )
-    units = units.join(shares, "low").withColumn("share", F.pmod(F.xxhash64("token", "i", "j"), "shares"))
 
     def vectors(batches):
         for batch in batches:
-            sets = [_array(b) for b in batch.column(1).to_pylist()]
+            sets = [_array(b) for b in batch.column("shingles").to_pylist()]
+            counts = pa.array([packed(count_vector(s, groups_for(len(s)))) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([packed(count_vector(s, groups_for(len(s)))) for s in sets], pa.binary())],
-                names=["node", "size", "counts"],
+                [batch.column("node"), batch.column("root"), batch.column("size"), counts],
+                names=["node", "root", "size", "counts"],
             )
 
-    points = sets.select("node", "shingles").mapInArrow(vectors, "node bigint, size bigint, counts binary")
-    met = units.join(points, "node").select("low", "share", "token", "i", "j", "part", "node", "root", "size", "counts")
+    places = units.select(F.col("low").alias("at"), F.col("share").alias("at_share"), F.col("node").alias("name")).distinct()
+    points = known.join(places, known["node"] == places["name"], "left_semi").select("node", "root", "size", "shingles")
+    points = points.mapInArrow(vectors, "node bigint, root bigint, size bigint, counts binary")
+    met = places.join(points, F.col("name") == F.col("node")).drop("name").groupBy("at", "at_share")
 
-    def near(table: pa.Table) -> pa.Table:
-        return _edges(unit_pairs(table, percent))
+    def near(units: pa.Table, points: pa.Table) -> pa.Table:
+        return _edges(unit_pairs(units, points, percent))
 
-    pairs = met.groupBy("low", "share").applyInArrow(near, "a bigint, b bigint").distinct()
+    pairs = units.groupBy("low", "share").cogroup(met).applyInArrow(near, "a bigint, b bigint").distinct()
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
@@ -280,29 +316,38 @@ def similar_rows(
             code = codes_of(mixed(value), count)
         names, inverse = np.unique(code, return_inverse=True)
         own = first[doc]
-        shared = sent_flags(names, sent) | (np.bincount(inverse[own], minlength=len(names)) > 1)
-        hits = np.bincount(doc[own & shared[inverse]], minlength=len(size))
+        width, local = sent_widths(names, sent), np.bincount(inverse[own], minlength=len(names))
+        rank = np.where(width > 0, width, bits_of(local))[inverse]
+        hits = np.bincount(doc[own & (rank > 1)], minlength=len(size))
         may = first & (size > 0) & (100 * hits >= percent * size)
-        heads = np.cumsum(size) - size
+        held = np.flatnonzero(may[doc])
+        owner, rare = prefixes_of(doc[held], value[held], rank[held], percent)
+        many = np.bincount(owner, minlength=len(size))
+        may &= many > 0
         base = ((chunk["chunk"] >> 32) << 40) | ((chunk["chunk"] & 0xFFFFFFFF) << 18)
-        blobs = [
-            value[h:h + n].tobytes() if m else None for h, n, m in zip(heads.tolist(), size.tolist(), may.tolist())
-        ]
+
+        def blobs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+            heads = np.cumsum(counts) - counts
+            return pa.array([
+                values[h:h + n].tobytes() if m else None for h, n, m in zip(heads.tolist(), counts.tolist(), may.tolist())
+            ], pa.binary())
+
         return pa.table({
             "row": pa.array(base + np.arange(len(size))), "doc_id": pa.array(chunk["ids"], pa.int64()),
-            "size": pa.array(size), "s1": pa.array(s1), "s2": pa.array(s2), "shingles": pa.array(blobs, pa.binary()),
+            "size": pa.array(size), "s1": pa.array(s1), "s2": pa.array(s2),
+            "shingles": blobs(value, size), "prefix": blobs(rare, many),
         })
 
     rows = cut_lineage(
-        per_chunk(plain, flags_elsewhere(plain, codes), describe,
-                  "row bigint, doc_id bigint, size bigint, s1 bigint, s2 bigint, shingles binary"),
+        per_chunk(plain, widths_elsewhere(plain, codes), describe,
+                  "row bigint, doc_id bigint, size bigint, s1 bigint, s2 bigint, shingles binary, prefix binary"),
         "sets",
     )
     classes = cut_lineage(
         rows.filter("size > 0").groupBy("s1", "s2", "size").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")),
         "classes",
     )
-    sets = rows.filter("shingles IS NOT NULL").select(F.col("row").alias("node"), "shingles").join(
+    sets = rows.filter("shingles IS NOT NULL").select(F.col("row").alias("node"), "size", "shingles", "prefix").join(
         classes.select("node"), "node", "left_semi"
     )
     links = cut_lineage(_blocks(sets, percent), "links")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tallyshelf.llm import jaccard
+from tallyshelf.llm.chunks import bits_of, sent_widths, widths_elsewhere
 from tallyshelf.llm.count_tree import CountTree, candidates, count_vector, groups_for, needed
 
 
@@ -67,16 +68,49 @@ def test_against_brute_force(spark, seed, block, monkeypatch):
     assert len(leaders) == len(set(leaders)) and set(leaders) == {r.component_id for r in got}
 
 
-def test_links_across_blocks_are_found(spark, monkeypatch):
+@pytest.mark.parametrize("block,task_rows", [(512, 32_768), (3, 20)])
+def test_links_across_blocks_are_found(spark, monkeypatch, block, task_rows):
     """With blocks that find nothing, the prefixes alone must find every link."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "TASK_ROWS", task_rows)
     rows = corpus(3)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     none = spark.createDataFrame([], "a bigint, b bigint")
     monkeypatch.setattr(jaccard, "_blocks", lambda sets, percent: none)
-    got = jaccard.similar_rows(docs).collect()
+    got = jaccard.similar_rows(docs, chunk_bytes=6000).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
 
 
+def test_prefixes_are_rare_and_shared_by_similar_sets():
+    rng = np.random.default_rng(6)
+    line = rng.integers(0, 2**63, 30, dtype=np.uint64)  # in every set
+    sets = []
+    for n in (40, 60, 100):
+        base = np.append(rng.integers(0, 2**63, n, dtype=np.uint64), line)
+        for _ in range(6):
+            sets.append(np.unique(np.append(base[rng.random(len(base)) > 0.05], rng.integers(0, 2**63, 3, dtype=np.uint64))))
+    doc, value = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    names, inverse, counts = np.unique(value, return_inverse=True, return_counts=True)
+    owner, held = jaccard.prefixes_of(doc, value, bits_of(counts)[inverse], 75)
+    assert not set(held.tolist()) & set(line.tolist()) and (counts[np.searchsorted(names, held)] > 1).all()
+    own = [set(held[owner == i].tolist()) for i in range(len(sets))]
+    met = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard.similar(sets[i], sets[j], 75)]
+    assert len(met) > 20 and all(own[i] & own[j] for i, j in met)
+
+
+def test_widths_count_chunks(spark):
+    """Every chunk learns in how many chunks each of its codes is; a code of one chunk only has width 0."""
+    held = {0: [1, 2, 3, 9 << 32], 1: [2, 3], 2: [3, 7], 3: [3, 9 << 32], 4: [3]}
+    plain = spark.createDataFrame([(k, [0], [0], b"") for k in held], "chunk bigint, ids array<bigint>, sizes array<bigint>, data binary")
+    mail = widths_elsewhere(plain, lambda chunk: np.array(held[chunk["chunk"]], np.uint64))
+    rows = mail.collect()
+    assert len(rows) <= sum(map(len, held.values()))
+    for chunk, codes in held.items():
+        sent = [bytes(r.payload) for r in rows if r.chunk == chunk]
+        want = [sum(c in other for other in held.values()) for c in codes]
+        assert sent_widths(np.array(codes, np.uint64), sent).tolist() == [n.bit_length() if n > 1 else 0 for n in want]
+
+
 def test_odd_rows(spark):
     long = " ".join(f"a{i}" for i in range(20_000))
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, ""), (4, " \n"), (5, "A B"), (6, "a b"),
